@@ -44,8 +44,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, with ``copies``: how often each is to be read."""
     plan = mixing.mix(docs, mixing.n_words(F.col("text")), mixing.quality_weight(F.col("text"))).where("copies > 0")
-    plan = common.written(plan.groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
-    return docs.join(plan, "doc_id").select(*docs.columns, "copies")
+    plan = common.written(plan.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies")), "copies")
+    docs = docs.drop("copies")
+    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).drop("_id")
 
 
 STAGES = [("language_id", identify_languages), ("line_dedup", drop_lines), ("jaccard_join", drop_near_copies), ("decontaminate", decontaminated), ("mixing", mixed)]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, texts
+from .common import in_batches, texts, written
 
 #: Words in a window, and words of it that must not be placeholders.
 WINDOW, LEAST_PLAIN = 8, 5
@@ -53,8 +53,9 @@ _words = Words()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Codes of the text's words with placeholders for numbers, names and units, the slot kinds, and the words; words of marks alone are left out."""
+def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Codes of the text's words with placeholders for numbers, names and units, the slot kinds, the words, and the codes without placeholders for names;
+    words of marks alone are left out."""
     words = text.split()
     packed = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
     starts = np.zeros(len(words), bool)
@@ -66,9 +67,10 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     after = np.zeros(len(words), bool)
     after[1:] = codes[:-1] == NUMBER
     kind[(packed & 2 > 0) & after] = UNIT
-    codes = np.where(kind > 0, kind, codes)
     keep = codes != EMPTY
-    return codes[keep], kind[keep], [w for w, k in zip(words, keep) if k] if not keep.all() else words
+    plain = codes[keep]
+    codes = np.where(kind > 0, kind, codes)
+    return codes[keep], kind[keep], [w for w, k in zip(words, keep) if k] if not keep.all() else words, plain
 
 
 def windows(codes: np.ndarray, kind: np.ndarray, size: int = WINDOW, plain: int = LEAST_PLAIN) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +89,24 @@ def windows(codes: np.ndarray, kind: np.ndarray, size: int = WINDOW, plain: int
     return h[good].view(np.int64), good
 
 
+def with_sentence_starts(codes: np.ndarray, kind: np.ndarray, plain: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """windows(), and again those that begin with a name, with that word taken as plain: an item that is quoted within a sentence keeps its capital.
+    The third array tells which are which."""
+    hashes, at = windows(codes, kind, size)
+    starts = np.flatnonzero(kind == NAME)
+    starts = starts[starts <= len(codes) - min(size, len(codes))]
+    more, places = [], []
+    for p in starts.tolist():
+        own, slot = codes[p : p + size].copy(), kind[p : p + size].copy()
+        own[0], slot[0] = plain[p], 0
+        h, good = windows(own, slot, size)
+        more += h.tolist()
+        places += [p] * len(good)
+    if not more:
+        return hashes, at, np.zeros(len(at), bool)
+    return np.concatenate((hashes, np.array(more, np.int64))), np.concatenate((at, places)), np.repeat((False, True), (len(at), len(more)))
+
+
 def slots(words: list[str], kind: np.ndarray, start: int, width: int) -> str:
     """The values of a window's slots, one a line."""
     return "\n".join(words[start + i].strip(_TRIM).lower() for i in np.flatnonzero(kind[start : start + width]))
@@ -95,22 +115,25 @@ def slots(words: list[str], kind: np.ndarray, start: int, width: int) -> str:
 WINDOW_ROWS = "id long, hash long, pos long, slots string"
 
 
-def _window_rows(items: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """id, hash, pos, slots of the windows of each item's text; only those with these hashes, if given."""
+def _window_rows(items: DataFrame, only: np.ndarray | None = None, quoted: bool = False) -> DataFrame:
+    """id, hash, pos, slots of the windows of each item's text; only those with these hashes, if given; quoted: see with_sentence_starts."""
 
     def run(batch: pa.RecordBatch) -> dict | None:
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), texts(batch)):
-            codes, kind, words = template(text)
-            hashes, at = windows(codes, kind)
+            codes, kind, words, plain = template(text)
+            if quoted:
+                hashes, at, second = with_sentence_starts(codes, kind, plain)
+            else:
+                hashes, at = windows(codes, kind)
+                second = np.zeros(len(at), bool)
             if only is not None:
                 if not len(only):
                     continue
-                near = np.minimum(np.searchsorted(only, hashes), len(only) - 1)
-                found = only[near] == hashes
-                hashes, at = hashes[found], at[found]
+                found = only[np.minimum(np.searchsorted(only, hashes), len(only) - 1)] == hashes
+                hashes, at, second = hashes[found], at[found], second[found]
             width = min(WINDOW, len(codes))
-            rows += [(doc, int(h), int(p), slots(words, kind, int(p), width)) for h, p in zip(hashes, at)]
+            rows += [(doc, int(h), int(p), slots(words, kind, int(p) + int(s), width - int(s))) for h, p, s in zip(hashes, at, second)]
         return dict(zip(("id", "hash", "pos", "slots"), map(list, zip(*rows)))) if rows else None
 
     return in_batches(items, run, WINDOW_ROWS)
@@ -122,14 +145,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, most_sent: int = MOST_SENT) -
     A window counts if its slots agree with the item's, or if each slot value of the item stands for one value throughout the document's match, so that a
     question with other numbers or names is found, but a mere pattern of numbers is not. Null or empty texts match nothing. An item given twice counts once
     an item_id; a null doc_id matches as a document of its own id, null."""
-    spark = docs.sparkSession
     own = _window_rows(benchmark.select(F.col("item_id").alias("id"), "text")).groupBy("id", "hash").agg(F.min_by(F.struct("pos", "slots"), "pos").alias("w")).select(F.col("id").alias("item_id"), "hash", F.col("w.pos").alias("item_pos"), F.col("w.slots").alias("item_slots"))
-    from .common import written
-
     own = written(own, "item-windows")
     hashes = own.select("hash").distinct()
-    sent = hashes.limit(most_sent + 1).toArrow()["hash"].to_numpy() if spark is not None else None
-    in_docs = _window_rows(docs.select(F.col("doc_id").alias("id"), "text"), np.sort(sent) if len(sent) <= most_sent else None).withColumnRenamed("id", "doc_id")
+    sent = hashes.limit(most_sent + 1).toArrow()["hash"].to_numpy()
+    in_docs = _window_rows(docs.select(F.col("doc_id").alias("id"), "text"), np.sort(sent) if len(sent) <= most_sent else None, quoted=True).withColumnRenamed("id", "doc_id")
     totals = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
     hit = in_docs.join(own, "hash").groupBy("doc_id", "item_id", "item_pos").agg(F.min_by(F.struct("pos", "slots", "item_slots"), "pos").alias("w"))
     pair = hit.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list(F.struct("item_pos", F.col("w.pos").alias("pos"), F.col("w.slots").alias("slots"), F.col("w.item_slots").alias("item_slots")))).alias("found"))

@@ -188,6 +188,13 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
+def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
+    n = 3 * (2 << (flags & 7))
+    if at + n > len(data):
+        raise BadGif("palette cut short")
+    return np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
+
+
 def decode(data: bytes) -> list[Frame]:
     """All frames in order, drawn upon each other by their disposal and transparency."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
@@ -195,12 +202,11 @@ def decode(data: bytes) -> list[Frame]:
     width, height, flags = struct.unpack_from("<HHB", data, 6)
     at, colours = 13, None
     if flags & 128:
-        n = 3 * (2 << (flags & 7))
-        colours, at = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
+        colours, at = _palette(data, at, flags)
     canvas = np.zeros((height, width, 4), np.uint8)
     frames: list[Frame] = []
     delay, disposal, transparent = 0, 0, None
-    while at < len(data):
+    while at + 1 < len(data) or data[at:] == b"\x3b":
         kind = data[at]
         if kind == 0x3B:
             return frames
@@ -216,8 +222,7 @@ def decode(data: bytes) -> list[Frame]:
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
         at, own = at + 10, colours
         if flags & 128:
-            n = 3 * (2 << (flags & 7))
-            own, at = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
+            own, at = _palette(data, at, flags)
         if own is None or left + w > width or top + h > height:
             raise BadGif("no palette or outside the picture")
         bits = data[at]

@@ -96,19 +96,23 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     A line whose key has min_chars code points and is in min_docs documents stays only in the largest doc_id that holds it.
     Null text is one empty line. Rows with the same doc_id lose the same lines; a null doc_id counts as the smallest. Other columns pass through.
     """
+    slim = docs.select("doc_id", "text")
     runs = LineRuns(docs.sparkSession, min_chars=min_chars)
-    runs.add(docs, batches)
-    lost = runs.hashes(docs).join(runs.repeated(min_docs), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    runs.add(slim, batches)
+    lost = runs.hashes(slim).join(runs.repeated(min_docs), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     lost = lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_lost")).withColumnRenamed("doc_id", "_doc")
-    all_lines = lines(F.col("text"))
+    # Whole rows travel in a struct, so that no column of docs can clash with those made here.
+    packed = docs.drop("n_lines", "kept_lines")
+    packed = packed.select(F.struct(*[packed[c] for c in packed.columns]).alias("_row"))
+    all_lines = lines(F.col("_row.text"))
 
     def stays(line: Column) -> Column:
         key = line_key(line)
         return (F.length(key) < min_chars) | ~F.array_contains(F.col("_lost"), F.struct(*[h.alias(n) for n, h in zip(("h1", "h2"), hash128(key))]))
 
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_doc"]), "left")
+    joined = packed.join(lost, F.col("_row.doc_id").eqNullSafe(F.col("_doc")), "left")
     kept = F.when(F.col("_lost").isNull(), all_lines).otherwise(F.filter(all_lines, stays))
-    return joined.select(*[docs[c] for c in docs.columns], F.size(all_lines).cast("long").alias("n_lines"), kept.alias("kept_lines"))
+    return joined.select("_row", F.size(all_lines).cast("long").alias("n_lines"), kept.alias("kept_lines")).select("_row.*", "n_lines", "kept_lines")
 
 
 def op9_line_dedup(docs: DataFrame) -> DataFrame:
