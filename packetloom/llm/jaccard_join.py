@@ -69,7 +69,7 @@ class Scheme:
         differ = self.ends[k] * 2 * (100 - self.percent) // (100 + self.percent)
         return differ + 2 if differ else 0
 
-    def signatures(self, h: np.ndarray) -> list[int]:
+    def signatures(self, h: np.ndarray) -> np.ndarray:
         """One hash for each part, in the set's own class and the next. A part without shingles counts only where there are several."""
         own = int(np.searchsorted(self.ends_array, len(h)))
         out: list[np.ndarray] = []
@@ -88,7 +88,11 @@ class Scheme:
                 seen[:] = True
             at = np.flatnonzero(seen)
             out.append(_mixed(_mixed(sums[at] ^ np.uint64(k), _M1) ^ at.astype(np.uint64), _M2))
-        return np.concatenate(out).view(np.int64).tolist() if out else []
+        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def _digest(h: np.ndarray, by: np.uint64) -> int:
+    return int(_mixed(h, by).sum(dtype=np.uint64).view(np.int64))
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
@@ -218,23 +222,37 @@ def similarity_join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     scheme = Scheme(percent)
 
     def describe(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"n": [], "d1": [], "d2": [], "sigs": []}
+        found = [shingles(t, shingle) for t in texts(batch)]
+        return {"doc_id": batch.column(0), "n": list(map(len, found)), "d1": [_digest(h, _M1) for h in found], "d2": [_digest(h, _M2) for h in found]}
+
+    seen: set[int] = set()  # digests that a task has emitted: of copies in a task, one is enough
+
+    def sign(batch: pa.RecordBatch) -> dict | None:
+        sigs, digests = [], []
         for text in texts(batch):
             h = shingles(text, shingle)
-            out["n"].append(len(h))
-            out["d1"].append(int(_mixed(h, _M1).sum(dtype=np.uint64).view(np.int64)))
-            out["d2"].append(int(_mixed(h, _M2).sum(dtype=np.uint64).view(np.int64)))
-            out["sigs"].append(scheme.signatures(h) if len(h) else [])
-        return {"doc_id": batch.column(0)} | out
+            d = _digest(h, _M1)
+            if len(h) and d not in seen:
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                seen.add(d)
+                sigs.append(scheme.signatures(h))
+                digests.append(np.full(len(sigs[-1]), d))
+        return {"sig": pa.array(np.concatenate(sigs)), "d1": pa.array(np.concatenate(digests))} if sigs else None
 
     own = docs.select("doc_id", "text")
-    described = written(in_batches(own, describe, "doc_id long, n long, d1 long, d2 long, sigs array<long>"), "described")
-    by_class = described.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
-    classes = written(by_class, "classes")
-    spread = classes.where("rep IS NOT NULL").select("rep", "n", F.explode("sigs").alias("sig"))
+    described = written(in_batches(own, describe, "doc_id long, n long, d1 long, d2 long"), "described")
+    classes = written(described.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
     of_sig = Window.partitionBy("sig")
-    blocks = spread.withColumn("lo", F.min("rep").over(of_sig)).withColumn("hi", F.max("rep").over(of_sig)).where("lo != hi").drop("hi")
-    blocks = written(blocks, "blocks")
+
+    def shared(rows: DataFrame, column: str) -> DataFrame:
+        """Rows of the blocks that hold several values of the column, with the least and the largest of them."""
+        return rows.withColumn("lo", F.min(column).over(of_sig)).withColumn("hi", F.max(column).over(of_sig)).where("lo != hi")
+
+    # Signatures travel alone with a digest; nearly all of them are in no other set and end here.
+    alike = shared(in_batches(own, sign, "sig long, d1 long"), "d1").select("sig", "d1").distinct()
+    blocks = written(alike.join(classes.where("rep IS NOT NULL").select("d1", "rep", "n"), "d1").select("sig", "rep", "n"), "members")
+    blocks = written(shared(blocks, "rep").drop("hi"), "blocks")
 
     def sets(batch: pa.RecordBatch) -> dict:
         found = [shingles(t, shingle) for t in texts(batch)]
@@ -256,8 +274,7 @@ def similarity_join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     def open_blocks() -> DataFrame:
         """Blocks that hold sets of several components."""
         labelled = blocks.join(labels, blocks["rep"] == labels["node"], "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        some = labelled.withColumn("lo", F.min("component").over(of_sig)).withColumn("hi", F.max("component").over(of_sig)).where("lo != hi")
-        return written(some, "open")
+        return written(shared(labelled, "component"), "open")
 
     for _ in range(STAR_ROUNDS):
         still = open_blocks()

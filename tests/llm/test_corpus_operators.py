@@ -234,7 +234,7 @@ def test_signatures_lose_no_pair():
             common = len(np.intersect1d(a, b))
             if len(a) != len(b) or common != len(a):
                 alike = 100 * common >= percent * (len(a) + len(b) - common)
-                assert not alike or set(scheme.signatures(a)) & set(scheme.signatures(b)), (len(a), len(b), common)
+                assert not alike or set(scheme.signatures(a).tolist()) & set(scheme.signatures(b).tolist()), (len(a), len(b), common)
 
 
 def test_signature_tree_loses_no_pair():
