@@ -18,7 +18,7 @@ WINDOW, LEAST_PLAIN = 8, 5
 LEAST_SHARE, LEAST_RUN = 0.3, 6
 #: Window hashes of all items that tasks get as an array, at most (8 bytes each); beyond it they are joined through a shuffle.
 MOST_SENT = 500_000
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Units after a number. Fixed values.
 UNITS = frozenset("mm cm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet yard yards g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ton tons l ml liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years dollar dollars euro euros cent cents usd eur gbp percent degree degrees kmh mph hz khz mhz ghz w kw v a b kb mb gb tb".split())
 NUMBER, NAME, UNIT, EMPTY = 1, 2, 3, 4
@@ -33,24 +33,25 @@ class Words(dict):
     def __missing__(self, word: str) -> tuple[int, int]:
         if len(self) > REMEMBERED:
             self.clear()
-        core = word.strip(_TRIM)
+        core = word if word.isalpha() else word.strip(_TRIM)
+        flags = (word.rstrip("\"'”’)*#&$%|")[-1:] in ".!?:") << 2
         if not core:
             code = EMPTY
-        elif _NUMERIC.match(core):
+        elif not core.isalpha() and _NUMERIC.match(core):
             code = NUMBER
         else:
             lower = core.lower()
-            code = (zlib.crc32(lower.encode("utf-8", "surrogatepass")) << 24 | zlib.adler32(lower.encode("utf-8", "surrogatepass")) & 0xFFFFFF) + 8
-        flags = 0
-        if code > 4:
-            flags = (len(core) > 1 and core[0].isupper() and core[1:].islower()) | (core.lower() in UNITS) << 1
-        flags |= (word.rstrip("\"'”’)*#&$%|")[-1:] in ".!?:") << 2
+            raw = lower.encode("utf-8", "surrogatepass")
+            code = (zlib.crc32(raw) << 24 | zlib.adler32(raw) & 0xFFFFFF) + 8
+            flags |= (len(core) > 1 and core[0].isupper() and core[1:].islower()) | (lower in UNITS) << 1
         out = self[word] = code << 3 | flags
         return out
 
 
 _words = Words()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: An odd number for each place in a window.
+_FACTORS = np.random.default_rng(20).integers(1, 1 << 63, WINDOW).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
@@ -81,9 +82,9 @@ def windows(codes: np.ndarray, kind: np.ndarray, size: int = WINDOW, plain: int
     width = min(size, n)
     x = codes.astype(np.uint64)
     h = np.full(n - width + 1, width, np.uint64)
-    for i in range(width):
-        h = (h ^ x[i : n - width + 1 + i]) * _MIX
-        h ^= h >> np.uint64(29)
+    for i, factor in enumerate(_FACTORS[:width]):
+        h += x[i : n - width + 1 + i] * factor
+    h = (h ^ h >> np.uint64(31)) * _MIX
     slots = np.concatenate(([0], np.cumsum(kind > 0)))
     good = np.flatnonzero(width - (slots[width:] - slots[:-width]) >= min(plain, width))
     return h[good].view(np.int64), good
