@@ -12,7 +12,8 @@ ARP_REQUEST, ARP_REPLY = 1, 2
 MQTT_PORTS = (1883,)
 #: Bits of the TCP flags octet. Fixed values.
 TCP_FLAGS = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16, "urg": 32}
-SEED_VERSION = "v1_train_internal_lineage_split"
+#: Enters every seed. Fixed value.
+SEED_VERSION = "phase2a_v1"
 
 # Label tables of the capture collection. Fixed values.
 ATTACKS = {

@@ -105,10 +105,10 @@ def reconcile(inventory: DataFrame, splits: DataFrame, files: DataFrame) -> Data
     all_ = inv.join(spl, "pcap_path", "full_outer").join(disk, "pcap_path", "full_outer")
     t = lambda c: F.coalesce(F.col(c), F.lit(False))
     codes = F.array_compact(F.array(
-        F.when(t("in_inv") & ~t("in_csv"), "missing_from_split"), F.when(~t("in_inv") & t("in_csv"), "missing_from_inventory"),
-        F.when(t("in_inv") & t("in_csv") & ~F.col("inv_split").eqNullSafe(F.col("csv_split")), "split_mismatch"),
-        F.when(t("in_inv") & ~t("on_disk"), "missing_on_disk"), F.when(~t("in_inv") & t("on_disk"), "unlisted_on_disk"),
-        F.when(t("in_inv") & t("on_disk") & ~F.col("inv_size").eqNullSafe(F.col("disk_size")), "size_mismatch"),
+        F.when(t("in_inv") & ~t("in_csv"), "manifest:missing_from_split"), F.when(~t("in_inv") & t("in_csv"), "manifest:missing_from_inventory"),
+        F.when(t("in_inv") & t("in_csv") & ~F.col("inv_split").eqNullSafe(F.col("csv_split")), "manifest:split_mismatch"),
+        F.when(t("in_inv") & ~t("on_disk"), "manifest:missing_pcap"), F.when(~t("in_inv") & t("on_disk"), "manifest:extra_pcap"),
+        F.when(t("in_inv") & t("on_disk") & ~F.col("inv_size").eqNullSafe(F.col("disk_size")), "manifest:file_size_mismatch"),
     ))
     return all_.select("pcap_path", F.explode(codes).alias("issue_code"))
 

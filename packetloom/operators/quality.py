@@ -54,15 +54,15 @@ def accounting_violations(integrity: DataFrame) -> DataFrame:
 def file_observations(integrity: DataFrame) -> DataFrame:
     """pcap_id, issue_code, severity of what a capture as a whole shows."""
     rate = F.coalesce("malformed_rate", F.lit(0.0))
-    malformed = F.when(F.col("malformed_count") > 0, F.when(rate >= MALFORMED_CATASTROPHIC, "malformed_catastrophic").when(rate >= MALFORMED_HIGH, "malformed_high").otherwise("malformed_present"))
+    malformed = F.when(F.col("malformed_count") > 0, F.when(rate >= MALFORMED_CATASTROPHIC, "file:malformed_catastrophic").when(rate >= MALFORMED_HIGH, "file:malformed_high").otherwise("file:malformed_present"))
     codes = [
-        F.when(~F.col("linktype").isin(*LINKTYPES), "unsupported_linktype"), F.when(F.col("error_count") > 0, "decoder_error"), F.when(F.col("packet_count") == 0, "zero_packets"), malformed,
-        F.when(F.col("partial_count") > 0, "partial_present"), F.when(F.col("unsupported_count") > 0, "unsupported_present"), F.when(F.col("duplicate_timestamp_count") > 0, "timestamp_duplicate"),
-        F.when(F.col("negative_delta_count") > 0, "timestamp_reversal"), F.when((F.col("capture_timestamp_span") <= 0) & (F.col("packet_count") > 1), "zero_duration"),
+        F.when(~F.col("linktype").isin(*LINKTYPES), "file:unsupported_linktype"), F.when(F.col("error_count") > 0, "file:decoder_error"), F.when(F.col("packet_count") == 0, "file:zero_packets"), malformed,
+        F.when(F.col("partial_count") > 0, "file:partial_present"), F.when(F.col("unsupported_count") > 0, "file:unsupported_present"), F.when(F.col("duplicate_timestamp_count") > 0, "file:timestamp_duplicate"),
+        F.when(F.col("negative_delta_count") > 0, "file:timestamp_reversal"), F.when((F.col("capture_timestamp_span") <= 0) & (F.col("packet_count") > 1), "file:zero_timestamp_span"),
     ]
     out = integrity.select("pcap_id", F.explode(F.array_compact(F.array(*codes))).alias("issue_code"))
     code = F.col("issue_code")
-    severity = F.when(code.isin("unsupported_linktype", "decoder_error", "malformed_catastrophic"), "hard_failure").when(code == "malformed_high", "high_warning").otherwise("warning")
+    severity = F.when(code.isin("file:unsupported_linktype", "file:decoder_error", "file:malformed_catastrophic"), "hard_failure").when(code == "file:malformed_high", "high_warning").otherwise("warning")
     return out.withColumn("severity", severity)
 
 

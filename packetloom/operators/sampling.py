@@ -107,29 +107,38 @@ def _seed(text: str) -> int:
     return int(hashlib.sha256(text.encode()).hexdigest()[:16], 16)
 
 
+#: Singletons that are held out first. Fixed values.
+PREFERRED = ("Idle", "Active", "ActiveBroker")
+
+
 def modeling_split(groups: list[dict], target: float = 0.2, least_device_windows: int = 1000, least_profiling_share: float = 0.15, base_seed: int = 42) -> dict[str, str]:
     """fit or validation of each lineage. A row a lineage (a few dozen): key, kind, family, windows, types (profiling types).
 
     Per attack family the lineage nearest to the target is held out, unless it is the only one; spoofing and the publisher's benign capture are for fitting only.
-    A device that has power and interaction captures and enough windows is held out, nearest to the target; a singleton is added while the share is small or
-    fewer than two profiling types are held out."""
+    Of the devices that have power and interaction captures and enough windows, the nearest to the target is held out, and a singleton with it if its share of
+    profiling windows is small or it shows fewer than two profiling types."""
     out = {g["key"]: "fit" for g in groups}
-    ranked = lambda own, total, salt: sorted(own, key=lambda g: (abs(g["windows"] / total - target), _seed(f"{S.SEED_VERSION}|{base_seed}|{salt}|tie|{g['key']}") ^ _seed(f"{S.SEED_VERSION}|{base_seed}|{salt}"), g["key"]))
+
+    def nearest(own: list[dict], total: int, salt: str) -> dict:
+        seed = _seed(f"{S.SEED_VERSION}|{base_seed}|{salt}")
+        return min(own, key=lambda g: (abs(g["windows"] / total - target), _seed(f"{S.SEED_VERSION}|{base_seed}|{salt}|tie|{g['key']}") ^ seed, g["key"]))
+
     families: dict[str, list[dict]] = defaultdict(list)
     for g in groups:
         if g["kind"] == "attack_lineage":
             families[g["family"]].append(g)
-    for family, own in sorted(families.items()):
-        if len(own) > 1:
-            out[ranked(own, sum(g["windows"] for g in own), f"family|{family}")[0]["key"]] = "validation"
+    held = [nearest(own, sum(g["windows"] for g in own), f"attack_family|{family}") for family, own in sorted(families.items()) if len(own) > 1]
     profiling = [g for g in groups if g["kind"] in ("profiling_device", "profiling_singleton")]
     total = sum(g["windows"] for g in profiling)
     devices = [g for g in profiling if g["kind"] == "profiling_device" and {"power", "interaction"} <= set(g["types"]) and g["windows"] >= least_device_windows]
-    held = ranked(devices, total, "profiling|device")[:1] if total else []
-    for g in ranked([g for g in profiling if g["kind"] == "profiling_singleton"], total, "profiling|singleton") if total else []:
-        if sum(x["windows"] for x in held) / total >= least_profiling_share and len({t for x in held for t in x["types"]}) >= 2:
-            break
-        held.append(g)
+    singles = {g["key"].rpartition("|")[2]: g for g in profiling if g["kind"] == "profiling_singleton"}
+    if devices:
+        device = nearest(devices, total, "benign_profiling_device")
+        held.append(device)
+        few, small = len(set(device["types"])) < 2, device["windows"] / total < least_profiling_share
+        if singles and (few or small):
+            first = [singles[n] for n in PREFERRED if n in singles and (small or set(singles[n]["types"]) - set(device["types"]))]
+            held.append(first[0] if first else nearest(list(singles.values()), total, "benign_profiling_singleton"))
     return out | {g["key"]: "validation" for g in held}
 
 
@@ -145,19 +154,23 @@ def profiling_splits(rows: list[dict], share: float = 0.2, seed: int = 42) -> di
     total = sum(len(kinds[k]) for k in devices)
     shuffle = random.Random(seed).shuffle
     best: tuple | None = None
-    for size in range(1, len(devices)):
+    both = {"power", "interaction"}
+    capable = any(both <= set(kinds[k]) for k in devices)
+    for size in range(1, len(devices) + 1):
         sets = list(itertools.combinations(devices, size))
         shuffle(sets)
         for chosen in sets:
             own = [t for k in chosen for t in kinds[k]]
-            score = (not {"power", "interaction"} <= set(own), abs(len(own) - share * total), size)
+            if capable and not both <= set(own):
+                continue
+            score = (not both <= set(own), abs(len(own) - share * total), size)
             if best is None or score < best[0]:
                 best = (score, chosen)
     test = set(best[1]) if best else set()
     return {k: "test" if k in test else "train" for k in kinds}
 
 
-def cv_folds(groups: list[dict], families: tuple[str, ...] = S.FAMILIES[:4], version: str = "phase2c1_hgb_sensitivity_v1", base_seed: int = 42, folds: int = 3) -> dict[str, int]:
+def cv_folds(groups: list[dict], families: tuple[str, ...] = S.FAMILIES[:4], version: str = "phase2c1_v1", base_seed: int = 42, folds: int = 3) -> dict[str, int]:
     """Fold of each lineage: key, family (BENIGN for benign), rows.
 
     A family with as many lineages as folds gives each fold one, in the order of their hashes, and the rest go to the lightest fold; with fewer, and for

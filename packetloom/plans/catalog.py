@@ -93,7 +93,7 @@ QUERIES = {
     "inventory_summary": (lambda s, d: catalog.inventory_summary(V.captures(s, d)), f"{C} SELECT source, split, count(*) AS captures, count_if(binary_label = 'ATTACK') AS attack, count_if(binary_label = 'BENIGN') AS benign, count_if(binary_label = 'UNKNOWN') AS unknown, sum(file_size)::BIGINT AS bytes FROM c GROUP BY ALL"),
     "split_summary": (lambda s, d: catalog.split_summary(_labelled(s, d)), f"{_L} SELECT split, CASE WHEN binary_label = 'ATTACK' THEN attack_family ELSE {_CAT} END AS category, count(*) AS captures, sum(window_count)::BIGINT AS windows, count(DISTINCT modeling_group_key) AS groups FROM l GROUP BY ALL"),
     "inventory_errors": (lambda s, d: catalog.inventory_errors(V.captures(s, d).withColumn("filename", F.col("pcap_path")).withColumn("dataset_scope", F.expr("CASE WHEN s_suppkey % 9 <> 0 THEN 'x' END")).withColumn("unresolved_reason", F.lit(None).cast("string")).withColumn("split", F.expr("CASE WHEN s_suppkey % 6 = 0 THEN 'odd' ELSE split END"))), f"{C} SELECT pcap_path, 'missing required field: dataset_scope' AS error FROM c WHERE s_suppkey % 9 = 0 UNION ALL SELECT pcap_path, 'invalid split: ''odd''' FROM c WHERE s_suppkey % 6 = 0 AND binary_label <> 'UNKNOWN' UNION ALL SELECT pcap_path, 'UNKNOWN rows require unresolved_reason' FROM c WHERE binary_label = 'UNKNOWN'"),
-    "reconcile_full_outer": (_reconciled, f"{C}, f AS ({_FILES}), s AS ({_SPLITS}), j AS (SELECT coalesce(c.pcap_path, s.pcap_path, f.pcap_path) AS pcap_path, c.pcap_path IS NOT NULL AS i, s.pcap_path IS NOT NULL AS x, f.pcap_path IS NOT NULL AS k, split, csv_split, file_size, length FROM c FULL JOIN s ON c.pcap_path = s.pcap_path FULL JOIN f ON coalesce(c.pcap_path, s.pcap_path) = f.pcap_path) SELECT pcap_path, 'missing_from_split' AS issue_code FROM j WHERE i AND NOT x UNION ALL SELECT pcap_path, 'missing_from_inventory' FROM j WHERE x AND NOT i UNION ALL SELECT pcap_path, 'split_mismatch' FROM j WHERE i AND x AND split <> csv_split UNION ALL SELECT pcap_path, 'missing_on_disk' FROM j WHERE i AND NOT k UNION ALL SELECT pcap_path, 'unlisted_on_disk' FROM j WHERE k AND NOT i UNION ALL SELECT pcap_path, 'size_mismatch' FROM j WHERE i AND k AND file_size <> length"),
+    "reconcile_full_outer": (_reconciled, f"{C}, f AS ({_FILES}), s AS ({_SPLITS}), j AS (SELECT coalesce(c.pcap_path, s.pcap_path, f.pcap_path) AS pcap_path, c.pcap_path IS NOT NULL AS i, s.pcap_path IS NOT NULL AS x, f.pcap_path IS NOT NULL AS k, split, csv_split, file_size, length FROM c FULL JOIN s ON c.pcap_path = s.pcap_path FULL JOIN f ON coalesce(c.pcap_path, s.pcap_path) = f.pcap_path) SELECT pcap_path, 'manifest:missing_from_split' AS issue_code FROM j WHERE i AND NOT x UNION ALL SELECT pcap_path, 'manifest:missing_from_inventory' FROM j WHERE x AND NOT i UNION ALL SELECT pcap_path, 'manifest:split_mismatch' FROM j WHERE i AND x AND split <> csv_split UNION ALL SELECT pcap_path, 'manifest:missing_pcap' FROM j WHERE i AND NOT k UNION ALL SELECT pcap_path, 'manifest:extra_pcap' FROM j WHERE k AND NOT i UNION ALL SELECT pcap_path, 'manifest:file_size_mismatch' FROM j WHERE i AND k AND file_size <> length"),
     "set_disjoint": (lambda s, d: catalog.overlap(_grouped(s, d).where("s_suppkey % 2 = 0"), _grouped(s, d).where("s_suppkey % 3 = 0")), f"{_L} SELECT pcap_id FROM l WHERE s_suppkey % 2 = 0 INTERSECT SELECT pcap_id FROM l WHERE s_suppkey % 3 = 0"),
     "set_coverage": (lambda s, d: catalog.uncovered(_grouped(s, d), _grouped(s, d).where("s_suppkey % 2 = 0"), _grouped(s, d).where("s_suppkey % 3 = 0")), f"{_L} SELECT pcap_id, 'missing' AS \"where\" FROM l WHERE s_suppkey % 2 <> 0 AND s_suppkey % 3 <> 0"),
     "anti_join_missing": (lambda s, d: V.captures(s, d).join(V.captures(s, d).where("s_suppkey % 13 <> 5"), "pcap_path", "left_anti").select("pcap_path"), f"{C} SELECT pcap_path FROM c WHERE s_suppkey % 13 = 5"),
@@ -110,7 +110,7 @@ QUERIES = {
     "selection_hash": (lambda s, d: sampling.selection_hashes(V.event_packets(s, d).select("pcap_id", F.col("packet_index").alias("window_index"))), f"WITH {V.EVENTS_SQL} SELECT pcap_id, count(*) AS rows, sha256(string_agg(packet_index::VARCHAR || chr(10), '' ORDER BY packet_index)) AS selection_sha256 FROM p GROUP BY pcap_id"),
     "feature_invariants": (lambda s, d: quality.window_violations(_broken(s, d)), f"WITH f AS ({FEATURES_SQL}) SELECT pcap_id, window_index, 'arp_ratio is above 1' AS violation FROM f WHERE pcap_id::INT % 7 = 1 AND window_index = 0 UNION ALL SELECT pcap_id, window_index, 'network layer ratios do not add up to 1' FROM f WHERE pcap_id::INT % 7 = 1 AND window_index = 0"),
     "accounting_invariants": (lambda s, d: quality.accounting_violations(stats.integrity(V.event_packets(s, d)).withColumn("ok_count", F.expr("CASE WHEN cast(pcap_id as int) % 3 = 1 THEN ok_count + 1 ELSE ok_count END"))), f"WITH {V.EVENTS_SQL} SELECT DISTINCT pcap_id, 'statuses do not add up' AS violation FROM p WHERE pcap_id::INT % 3 = 1"),
-    "file_observations": (_issues, f"WITH {V.EVENTS_SQL}, {V.DELTA_SQL}, {_INT} SELECT pcap_id, CASE WHEN mal / n >= 0.8 THEN 'malformed_catastrophic' WHEN mal / n >= 0.01 THEN 'malformed_high' ELSE 'malformed_present' END AS issue_code, CASE WHEN mal / n >= 0.8 THEN 'hard_failure' WHEN mal / n >= 0.01 THEN 'high_warning' ELSE 'warning' END AS severity FROM q WHERE mal > 0 UNION ALL SELECT pcap_id, 'partial_present', 'warning' FROM q WHERE par > 0 UNION ALL SELECT pcap_id, 'unsupported_present', 'warning' FROM q WHERE uns > 0 UNION ALL SELECT pcap_id, 'timestamp_duplicate', 'warning' FROM q WHERE dup > 0 UNION ALL SELECT pcap_id, 'timestamp_reversal', 'warning' FROM q WHERE neg > 0"),
+    "file_observations": (_issues, f"WITH {V.EVENTS_SQL}, {V.DELTA_SQL}, {_INT} SELECT pcap_id, CASE WHEN mal / n >= 0.8 THEN 'file:malformed_catastrophic' WHEN mal / n >= 0.01 THEN 'file:malformed_high' ELSE 'file:malformed_present' END AS issue_code, CASE WHEN mal / n >= 0.8 THEN 'hard_failure' WHEN mal / n >= 0.01 THEN 'high_warning' ELSE 'warning' END AS severity FROM q WHERE mal > 0 UNION ALL SELECT pcap_id, 'file:partial_present', 'warning' FROM q WHERE par > 0 UNION ALL SELECT pcap_id, 'file:unsupported_present', 'warning' FROM q WHERE uns > 0 UNION ALL SELECT pcap_id, 'file:timestamp_duplicate', 'warning' FROM q WHERE dup > 0 UNION ALL SELECT pcap_id, 'file:timestamp_reversal', 'warning' FROM q WHERE neg > 0"),
     "audit_totals": (lambda s, d: stats.audit_totals(stats.integrity(V.event_packets(s, d))), f"WITH {V.EVENTS_SQL}, q AS (SELECT pcap_id, count(*) AS n, sum(frame_length) AS b, count_if(parse_status = 'unsupported') AS u FROM p GROUP BY pcap_id) SELECT count(*) AS captures, sum(n)::BIGINT AS packets, sum(b)::BIGINT AS bytes, 1::BIGINT AS linktypes, sum(u)::BIGINT AS unsupported_packets, count_if(u > 0) AS captures_with_unsupported FROM q"),
     "reservoir_sample": (lambda s, d: sampling.selection_hashes(sampling.sampled(V.event_packets(s, d).select("pcap_id", F.col("packet_index").alias("window_index")), V.event_packets(s, d).groupBy("pcap_id").agg(F.count(F.lit(1)).alias("window_count")).withColumn("selected", F.expr("window_count DIV 3")))), None),
     "window_counts_by_policy": (lambda s, d: windows.accounting(V.lineitem_packets(s, d).withColumn("parse_status", F.lit("ok")), V.CUTTING).select("pcap_id", "packets", "full_windows", "dropped_packets"), f"WITH {V.LINEITEM_SQL}, {V.segments_sql(V.CUTTING)}, z AS (SELECT pcap_id, segment_index, count(*) AS n FROM g GROUP BY ALL) SELECT pcap_id, sum(n)::BIGINT AS packets, sum(n // 5)::BIGINT AS full_windows, sum(n % 5)::BIGINT AS dropped_packets FROM z GROUP BY pcap_id"),

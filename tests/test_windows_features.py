@@ -167,4 +167,4 @@ def test_capped_distinct(spark):
 def test_file_observations(spark):
     rows = [packet(i, 1.0, parse_status="malformed" if i < 9 else "ok") for i in range(10)]
     found = {(r.issue_code, r.severity) for r in quality.file_observations(stats.integrity(packets(spark, rows))).collect()}
-    assert found == {("malformed_catastrophic", "hard_failure"), ("timestamp_duplicate", "warning"), ("zero_duration", "warning")}
+    assert found == {("file:malformed_catastrophic", "hard_failure"), ("file:timestamp_duplicate", "warning"), ("file:zero_timestamp_span", "warning")}
