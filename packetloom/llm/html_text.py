@@ -19,8 +19,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math canvas object".split())
 #: Elements that never hold main text. Fixed values.
 NEVER = frozenset("nav aside footer form script style noscript iframe button select option input textarea template svg math canvas object head menu dialog title".split())
-#: Words in class, id or role that mark what is no main text. Fixed values.
-MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|comments?|disqus|respond|reply|replies|sidebar|side|widget|menu|navbar|nav|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|tags?|alert|disclaimer|copyright|skip|search|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Words in class, id or role that mark what is no main text, and those that do so only outside an article. Fixed values.
+_ALWAYS = r"ads?|advert\w*|adsense|banners?|promo\w*|sponsor\w*|comments?|disqus|respond|reply|replies|sidebars?|widgets?|menus?|navbar|nav|navigation|breadcrumbs?|footers?|cookies?|consent|gdpr|notices?|popups?|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|alert|disclaimer|copyright|complementary|contentinfo"
+_OUTSIDE = r"headers?|masthead|side|tags?|skip|search"
+MARKED_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{_ALWAYS})(?:$|[\s_-])", re.I)
+MARKED = re.compile(rf"(?:^|[\s_-])(?:{_ALWAYS}|{_OUTSIDE})(?:$|[\s_-])", re.I)
 #: Elements that may close an open one of the same kind, as HTML lets their end tags be left out. Fixed values.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("article section div body ul ol dl table td th main blockquote html".split())
@@ -47,9 +50,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, banned, in a link
     now: Block | None = None
-    raw_end: re.Pattern | None = None
     at, n = 0, len(page)
-    in_content = 0
     while at < n:
         m = _TOKEN.match(page, at)
         if m is None:  # a tag that never ends
@@ -96,11 +97,11 @@ def blocks(page: str) -> list[Block]:
             in_content = any(s[0] in ("article", "main") for s in stack)
             banned = above[2] or tag in NEVER or (tag == "header" and not in_content)
             if attributes and not banned and tag not in ("html", "body", "article", "main"):
-                banned = any(MARKED.search(" ".join(filter(None, a))) for a in _ATTRIBUTE.findall(attributes)) or bool(_HIDDEN.search(attributes))
+                marked = MARKED_INSIDE if in_content else MARKED
+                banned = any(marked.search(" ".join(filter(None, a))) for a in _ATTRIBUTE.findall(attributes)) or bool(_HIDDEN.search(attributes))
             stack.append((tag, f"{above[1]}/{tag}", banned, above[3] or tag == "a"))
             if tag in RAW:
-                raw_end = re.compile(rf"</{tag}\s*>", re.I)
-                end = raw_end.search(page, at)
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 stack.pop()
                 at = end.end() if end else n
         elif closing:

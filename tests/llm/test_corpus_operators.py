@@ -374,7 +374,7 @@ def test_quality_odd_and_empty(odd, nothing, spark):
 
 PAGE = """<!DOCTYPE html><html lang=en><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><p>Site name</p></header><nav><ul><li><a href="/a">A</a><li><a href="/b">B</a></ul></nav><div class="cookie-notice"><p>We use cookies, yes.</p></div>
-<!-- <p>hidden</p> --><article class="post"><header><h1>The &amp;  title</h1></header><p>First <b>para</b>graph,&nbsp;here.<p>Second one.<br>Same block.
+<!-- <p>hidden</p> --><article class="post"><header class="entry-header"><h1>The &amp;  title</h1></header><p>First <b>para</b>graph,&nbsp;here.<p>Second one.<br>Same block.
 <div class="ad"><p>Buy now</p></div><table><tr><td>cell one<td>cell two</table><form><p>Name <input name=x></p></form><aside><p>Aside.</p></aside>
 <section id="comments"><p>A reader says this.</p></section></article><div id="sidebar"><p>Side.</p></div><footer>&copy; us</footer></body></html>"""
 
