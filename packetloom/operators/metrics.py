@@ -55,7 +55,7 @@ def _running(counts: DataFrame, groups: tuple[str, ...], columns: dict[str, str]
 
 def ranking(scores: DataFrame, *groups: str) -> DataFrame:
     """ROC-AUC by rank sums with average ranks, average precision over distinct scores; null with one class."""
-    counts = _score_counts(scores, *groups).cache() if not groups else _score_counts(scores, *groups)
+    counts = _score_counts(scores, *groups)
     run = _running(counts, groups, {"cn": "n", "cpos": "pos"})
     totals = counts.groupBy(*groups).agg(F.sum("n").alias("total"), F.sum("pos").alias("p"))
     joined = run.join(totals, list(groups)) if groups else run.crossJoin(F.broadcast(totals))

@@ -60,10 +60,8 @@ def characterization(packets: DataFrame, ip_cap: int = IP_CAP, port_cap: int = P
     columns = [n.alias("packet_count"), rate(n).alias("packets_per_second"), rate(F.sum("frame_length")).alias("bytes_per_second")]
     columns += [S.ratio(F.count_if(f"is_{p}"), n).alias(f"{p}_ratio") for p in PROTOCOLS]
     columns += [x for f in ("syn", "ack", "fin", "rst", "psh", "urg") for x in (F.count_if(f"tcp_flag_{f}").alias(f"tcp_{f}_count"), S.ratio(F.count_if(F.col("is_tcp") & F.col(f"tcp_flag_{f}")), n_tcp).alias(f"tcp_{f}_ratio"))]
-    own = packets.groupBy("pcap_id").agg(*columns)
-    for column, cap in (("src_ip", ip_cap), ("dst_ip", ip_cap), ("src_port", port_cap), ("dst_port", port_cap)):
-        own = own.join(packets.groupBy("pcap_id").agg(*capped_distinct(column, cap)), "pcap_id")
-    return own
+    distinct = [c for column, cap in (("src_ip", ip_cap), ("dst_ip", ip_cap), ("src_port", port_cap), ("dst_port", port_cap)) for c in capped_distinct(column, cap)]
+    return packets.groupBy("pcap_id").agg(*columns, *distinct)
 
 
 def timestamp_probe(packets: DataFrame) -> DataFrame:

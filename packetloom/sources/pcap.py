@@ -159,7 +159,6 @@ def stored_packets(spark: SparkSession, path: str, relative_to: str = "", strict
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     return files.mapInArrow(run, PACKET)
 
 
