@@ -17,7 +17,7 @@ from .components import components
 
 REMEMBERED = 300_000
 #: 64-bit words of a set's bitmap, and children of a tree's node.
-BITMAP_WORDS, FANOUT = 32, 8
+BITMAP_WORDS, FANOUT = 16, 8
 #: Rounds of linking to one member before the trees.
 STAR_ROUNDS = 2
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -161,25 +161,81 @@ class SignatureTree:
                 todo += [(a, y) for y in b.children]
 
     def _leaf_pairs(self, x: np.ndarray, y: np.ndarray):
-        a, b = self.bits[x][:, None], self.bits[y][None]
-        na, nb = self.sizes[x][:, None], self.sizes[y][None]
-        overlap = np.minimum(na - np.bitwise_count(a & ~b).sum(axis=2), nb - np.bitwise_count(b & ~a).sum(axis=2))
-        good = ((100 + self.percent) * overlap >= self.percent * (na + nb)) & (self.components[x][:, None] != self.components[y][None])
+        good = may_link(self.bits, self.sizes, x, y, self.percent) & (self.components[x][:, None] != self.components[y][None])
         for i, j in zip(*np.nonzero(good)):
             p, q = int(self.ids[x[i]]), int(self.ids[y[j]])
             if p != q:
                 yield (p, q) if p < q else (q, p)
 
 
+def _by_block(batches):
+    """(sig, rows) of each block of batches that are sorted by their first column."""
+    kept: list[tuple] = []
+    now = None
+    for batch in batches:
+        for sig, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if sig != now and kept:
+                yield now, kept
+                kept = []
+            now = sig
+            kept.append(tuple(row))
+    if kept:
+        yield now, kept
+
+
+def _in_blocks(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.repartition("sig").sortWithinPartitions("sig").select("sig", *columns)
+
+
+def may_link(bits: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether set i of x and j of y may be alike enough, by their bitmaps: a bit that only one of them has stands for a shingle that only it has."""
+    a, b, na, nb = bits[x][:, None], bits[y][None], sizes[x][:, None], sizes[y][None]
+    overlap = np.minimum(na - np.bitwise_count(a & ~b).sum(axis=2, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=2, dtype=np.int64))
+    return (100 + percent) * overlap >= percent * (na + nb)
+
+
+def with_partner(bits: np.ndarray, sizes: np.ndarray, percent: int, step: int = 256) -> np.ndarray:
+    """Which sets of a block may be alike enough with another one of it. Most are settled by the first set; the others are compared with all."""
+    n = len(sizes)
+    everything = np.arange(n)
+    good = may_link(bits, sizes, everything[:1], everything, percent)[0]
+    good[0] = good[1:].any()
+    rest = np.flatnonzero(~good)
+    for i in range(0, len(rest), step):
+        own = rest[i : i + step]
+        met = np.concatenate([may_link(bits, sizes, own, everything[j : j + step], percent) for j in range(0, n, step)], axis=1)
+        met[np.arange(len(own)), own] = False
+        good[own] |= met.any(axis=1)
+        good |= met.any(axis=0)
+    return good
+
+
+def _plausible(blocks: DataFrame, percent: int) -> DataFrame:
+    """sig, rep, n of the sets that may link within their block. blocks: sig, rep, n, bits. Sets that share a passage and little else end here."""
+
+    def run(batches):
+        out: list[tuple[int, int, int]] = []
+        for sig, kept in _by_block(batches):
+            if len(kept) > 1:
+                reps, sizes, bits = zip(*kept)
+                good = with_partner(np.stack([np.frombuffer(b, np.uint64) for b in bits]), np.array(sizes), percent)
+                out += [(sig, reps[i], sizes[i]) for i in np.flatnonzero(good)]
+            if len(out) >= BATCH_ROWS * 16:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["sig", "rep", "n"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["sig", "rep", "n"])
+
+    return _in_blocks(blocks, "rep", "n", "bits").mapInArrow(run, "sig long, rep long, n long")
+
+
 def _tree_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs that the trees of the blocks let through. blocks: sig, rep, n, component, bits."""
 
     def run(batches):
-        kept: list[tuple] = []
         seen: set[tuple[int, int]] = set()
         out: list[tuple[int, int]] = []
-
-        def search() -> None:
+        for _, kept in _by_block(batches):
             ids, sizes, comps, bits = zip(*kept)
             tree = SignatureTree(np.array(ids), np.array(sizes), np.array(comps), np.stack([np.frombuffer(b, np.uint64) for b in bits]), percent)
             for pair in tree.pairs():
@@ -188,24 +244,13 @@ def _tree_pairs(blocks: DataFrame, percent: int) -> DataFrame:
                         seen.clear()
                     seen.add(pair)
                     out.append(pair)
-
-        now = None
-        for batch in batches:
-            for sig, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if sig != now and kept:
-                    search()
-                    kept.clear()
-                    while len(out) >= BATCH_ROWS * 16:
-                        yield _pairs_batch(out[: BATCH_ROWS * 16])
-                        del out[: BATCH_ROWS * 16]
-                now = sig
-                kept.append(tuple(row))
-        if kept:
-            search()
+                if len(out) >= BATCH_ROWS * 16:
+                    yield _pairs_batch(out)
+                    out = []
         if out:
             yield _pairs_batch(out)
 
-    return blocks.repartition("sig").sortWithinPartitions("sig").select("sig", "rep", "n", "component", "bits").mapInArrow(run, "a long, b long")
+    return _in_blocks(blocks, "rep", "n", "component", "bits").mapInArrow(run, "a long, b long")
 
 
 def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -223,7 +268,7 @@ def similarity_join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     def describe(batch: pa.RecordBatch) -> dict:
         found = [shingles(t, shingle) for t in texts(batch)]
-        return {"doc_id": batch.column(0), "n": list(map(len, found)), "d1": [_digest(h, _M1) for h in found], "d2": [_digest(h, _M2) for h in found]}
+        return {"doc_id": batch.column(0), "n": list(map(len, found)), "d1": [_digest(h, _M1) for h in found], "d2": [_digest(h, _M2) for h in found], "bits": [bitmap(h).tobytes() for h in found]}
 
     seen: set[int] = set()  # digests that a task has emitted: of copies in a task, one is enough
 
@@ -241,8 +286,8 @@ def similarity_join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         return {"sig": pa.array(np.concatenate(sigs)), "d1": pa.array(np.concatenate(digests))} if sigs else None
 
     own = docs.select("doc_id", "text")
-    described = written(in_batches(own, describe, "doc_id long, n long, d1 long, d2 long"), "described")
-    classes = written(described.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    described = written(in_batches(own, describe, "doc_id long, n long, d1 long, d2 long, bits binary"), "described")
+    classes = written(described.where("n > 0").groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "n", "bits"), "doc_id").alias("c")).select("d1", "d2", F.col("c.doc_id").alias("rep"), "c.n", "c.bits"), "classes")
     of_sig = Window.partitionBy("sig")
 
     def shared(rows: DataFrame, column: str) -> DataFrame:
@@ -251,16 +296,16 @@ def similarity_join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # Signatures travel alone with a digest; nearly all of them are in no other set and end here.
     alike = shared(in_batches(own, sign, "sig long, d1 long"), "d1").select("sig", "d1").distinct()
-    blocks = written(alike.join(classes.where("rep IS NOT NULL").select("d1", "rep", "n"), "d1").select("sig", "rep", "n"), "members")
-    blocks = written(shared(blocks, "rep").drop("hi"), "blocks")
+    alike = alike.join(classes.where("rep IS NOT NULL").select("d1", "rep", "n", "bits"), "d1").select("sig", "rep", "n", "bits")
+    blocks = written(shared(_plausible(alike, percent), "rep").drop("hi"), "blocks")
 
     def sets(batch: pa.RecordBatch) -> dict:
         found = [shingles(t, shingle) for t in texts(batch)]
-        return {"rep": batch.column(0), "set": [x.view(np.int64) for x in found], "bits": [bitmap(x).tobytes() for x in found]}
+        return {"rep": batch.column(0), "set": [x.view(np.int64) for x in found]}
 
     members = written(blocks.select("rep").distinct(), "members")
     member_texts = own.join(members, own["doc_id"] == members["rep"], "left_semi")
-    known = written(in_batches(member_texts, sets, "rep long, set array<long>, bits binary"), "sets")
+    known = written(in_batches(member_texts, sets, "rep long, set array<long>"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (known.select(F.col("rep").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
@@ -286,7 +331,7 @@ def similarity_join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         links = written(links.unionByName(more), "links")
         labels = written(components(links), "labels")
     still = open_blocks()
-    still = still.join(known.select("rep", "bits"), "rep")
+    still = still.join(classes.where("rep IS NOT NULL").select("rep", "bits"), "rep")
     last = written(verified(_tree_pairs(still, percent)), "links")
     if not last.isEmpty():
         links = written(links.unionByName(last), "links")

@@ -255,6 +255,10 @@ def test_signature_tree_loses_no_pair():
             if labels[i] != labels[j] and 100 * common >= 90 * (len(sets[i]) + len(sets[j]) - common):
                 assert (j, i) in found
     assert len(found) < len(sets) ** 2 / 6
+    kept = jaccard_join.with_partner(bits, sizes, 90, step=7)
+    plausible = jaccard_join.may_link(bits, sizes, np.arange(len(sets)), np.arange(len(sets)), 90)
+    np.fill_diagonal(plausible, False)
+    assert (kept == plausible.any(axis=1)).all() and 0 < kept.sum()
 
 
 def test_join_odd_and_empty(odd, nothing):
