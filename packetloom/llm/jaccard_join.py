@@ -17,7 +17,7 @@ from .components import components
 
 REMEMBERED = 300_000
 #: 64-bit words of a set's bitmap, and children of a tree's node.
-BITMAP_WORDS, FANOUT = 16, 8
+BITMAP_WORDS, FANOUT = 64, 8
 #: Rounds of linking to one member before the trees.
 STAR_ROUNDS = 2
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
