@@ -19,6 +19,8 @@ LEAST_SHARE, LEAST_RUN = 0.3, 6
 #: Window hashes of all items that tasks get as an array, at most (8 bytes each); beyond it they are joined through a shuffle.
 MOST_SENT = 500_000
 REMEMBERED = 600_000
+#: Added to the width that begins the hash of an exact window.
+EXACT = 16
 #: Units after a number. Fixed values.
 UNITS = frozenset("mm cm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet yard yards g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ton tons l ml liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years dollar dollars euro euros cent cents usd eur gbp percent degree degrees kmh mph hz khz mhz ghz w kw v a b kb mb gb tb".split())
 NUMBER, NAME, UNIT, EMPTY = 1, 2, 3, 4
@@ -28,7 +30,7 @@ _TRIM = "!?.,;:#$%&*|\"'()[]{}<>“”‘’«»¿¡…`~_=+/\\-"
 
 
 class Words(dict):
-    """By word: a hash of its plain form, or a placeholder; and whether it looks like a name, and whether it ends a sentence."""
+    """By word: a hash of its plain form, or EMPTY; and whether it looks like a name, is a unit, ends a sentence, is a number."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
         if len(self) > REMEMBERED:
@@ -37,14 +39,15 @@ class Words(dict):
         flags = (word.rstrip("\"'”’)*#&$%|")[-1:] in ".!?:") << 2
         if not core:
             code = EMPTY
-        elif not core.isalpha() and _NUMERIC.match(core):
-            code = NUMBER
         else:
             lower = core.lower()
             raw = lower.encode("utf-8", "surrogatepass")
             code = (zlib.crc32(raw) << 24 | zlib.adler32(raw) & 0xFFFFFF) + 8
-            flags |= (len(core) > 1 and core[0].isupper() and core[1:].islower()) | (lower in UNITS) << 1
-        out = self[word] = code << 3 | flags
+            if not core.isalpha() and _NUMERIC.match(core):
+                flags |= 8
+            else:
+                flags |= (len(core) > 1 and core[0].isupper() and core[1:].islower()) | (lower in UNITS) << 1
+        out = self[word] = code << 4 | flags
         return out
 
 
@@ -55,18 +58,18 @@ _FACTORS = np.random.default_rng(20).integers(1, 1 << 63, WINDOW).astype(np.uint
 
 
 def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Codes of the text's words with placeholders for numbers, names and units, the slot kinds, the words, and the codes without placeholders for names;
+    """Codes of the text's words with placeholders for numbers, names and units, the slot kinds, the words, and the codes without placeholders;
     words of marks alone are left out."""
     words = text.split()
     packed = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
     starts = np.zeros(len(words), bool)
     starts[:1] = True
     starts[1:] = packed[:-1] & 4 > 0
-    codes = packed >> 3
-    kind = np.where(codes == NUMBER, NUMBER, 0)
+    codes = packed >> 4
+    kind = np.where(packed & 8 > 0, NUMBER, 0)
     kind[(packed & 1 > 0) & ~starts] = NAME
     after = np.zeros(len(words), bool)
-    after[1:] = codes[:-1] == NUMBER
+    after[1:] = packed[:-1] & 8 > 0
     kind[(packed & 2 > 0) & after] = UNIT
     keep = codes != EMPTY
     plain = codes[keep]
@@ -74,38 +77,49 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
     return codes[keep], kind[keep], [w for w, k in zip(words, keep) if k] if not keep.all() else words, plain
 
 
+def _sums(codes: np.ndarray, width: int, seed: int) -> np.ndarray:
+    x = codes.astype(np.uint64)
+    h = np.full(len(x) - width + 1, seed, np.uint64)
+    for i, factor in enumerate(_FACTORS[:width]):
+        h += x[i : len(h) + i] * factor
+    return h
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    return ((h ^ h >> np.uint64(31)) * _MIX).view(np.int64)
+
+
+def _n_plain(kind: np.ndarray, width: int) -> np.ndarray:
+    placeholders = np.concatenate(([0], np.cumsum(kind > 0)))
+    return width - (placeholders[width:] - placeholders[:-width])
+
+
 def windows(codes: np.ndarray, kind: np.ndarray, size: int = WINDOW, plain: int = LEAST_PLAIN) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows with enough plain words, and where each begins. A text shorter than a window is one window."""
-    n = len(codes)
-    if not n:
+    if not len(codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    width = min(size, n)
-    x = codes.astype(np.uint64)
-    h = np.full(n - width + 1, width, np.uint64)
-    for i, factor in enumerate(_FACTORS[:width]):
-        h += x[i : n - width + 1 + i] * factor
-    h = (h ^ h >> np.uint64(31)) * _MIX
-    slots = np.concatenate(([0], np.cumsum(kind > 0)))
-    good = np.flatnonzero(width - (slots[width:] - slots[:-width]) >= min(plain, width))
-    return h[good].view(np.int64), good
+    width = min(size, len(codes))
+    good = np.flatnonzero(_n_plain(kind, width) >= min(plain, width))
+    return _mixed(_sums(codes, width, width)[good]), good
+
+
+def exact_windows(plain: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """Hashes of all windows of the words as they are, by where they begin. A text shorter than a window is one window."""
+    width = min(size, len(plain))
+    return _mixed(_sums(plain, width, width + EXACT)) if width else np.zeros(0, np.int64)
 
 
 def with_sentence_starts(codes: np.ndarray, kind: np.ndarray, plain: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """windows(), and again those that begin with a name, with that word taken as plain: an item that is quoted within a sentence keeps its capital.
     The third array tells which are which."""
-    hashes, at = windows(codes, kind, size)
-    starts = np.flatnonzero(kind == NAME)
-    starts = starts[starts <= len(codes) - min(size, len(codes))]
-    more, places = [], []
-    for p in starts.tolist():
-        own, slot = codes[p : p + size].copy(), kind[p : p + size].copy()
-        own[0], slot[0] = plain[p], 0
-        h, good = windows(own, slot, size)
-        more += h.tolist()
-        places += [p] * len(good)
-    if not more:
-        return hashes, at, np.zeros(len(at), bool)
-    return np.concatenate((hashes, np.array(more, np.int64))), np.concatenate((at, places)), np.repeat((False, True), (len(at), len(more)))
+    if not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    width = min(size, len(codes))
+    h, room, least = _sums(codes, width, width), _n_plain(kind, width), min(LEAST_PLAIN, width)
+    at = np.flatnonzero(room >= least)
+    again = np.flatnonzero((kind[: len(h)] == NAME) & (room + 1 >= least))
+    more = h[again] + (plain[again] - codes[again]).view(np.uint64) * _FACTORS[0]
+    return _mixed(np.concatenate((h[at], more))), np.concatenate((at, again)), np.repeat((False, True), (len(at), len(again)))
 
 
 def slots(words: list[str], kind: np.ndarray, start: int, width: int) -> str:
@@ -113,46 +127,78 @@ def slots(words: list[str], kind: np.ndarray, start: int, width: int) -> str:
     return "\n".join(words[start + i].strip(_TRIM).lower() for i in np.flatnonzero(kind[start : start + width]))
 
 
-WINDOW_ROWS = "id long, hash long, pos long, slots string"
+WINDOW_ROWS = "id long, hash long, pos long, slots string, width long, exact boolean"
+
+
+def _rows(rows: list[tuple]) -> dict | None:
+    return dict(zip(("id", "hash", "pos", "slots", "width", "exact"), map(list, zip(*rows)))) if rows else None
 
 
-def _window_rows(items: DataFrame, only: np.ndarray | None = None, quoted: bool = False) -> DataFrame:
-    """id, hash, pos, slots of the windows of each item's text; only those with these hashes, if given; quoted: see with_sentence_starts."""
+def _item_rows(items: DataFrame) -> DataFrame:
+    """The windows of each item's text. Items shorter than a window, and those of which no window has enough plain words, have exact windows too."""
 
     def run(batch: pa.RecordBatch) -> dict | None:
         rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), texts(batch)):
+        for item, text in zip(batch.column(0).to_pylist(), texts(batch)):
             codes, kind, words, plain = template(text)
-            if quoted:
-                hashes, at, second = with_sentence_starts(codes, kind, plain)
-            else:
-                hashes, at = windows(codes, kind)
-                second = np.zeros(len(at), bool)
-            if only is not None:
-                if not len(only):
-                    continue
-                found = only[np.minimum(np.searchsorted(only, hashes), len(only) - 1)] == hashes
-                hashes, at, second = hashes[found], at[found], second[found]
             width = min(WINDOW, len(codes))
-            rows += [(doc, int(h), int(p), slots(words, kind, int(p) + int(s), width - int(s))) for h, p, s in zip(hashes, at, second)]
-        return dict(zip(("id", "hash", "pos", "slots"), map(list, zip(*rows)))) if rows else None
+            hashes, at = windows(codes, kind)
+            rows += [(item, int(h), int(p), slots(words, kind, int(p), width), width, False) for h, p in zip(hashes, at)]
+            if width < WINDOW or not len(at):
+                rows += [(item, int(h), p, "", width, True) for p, h in enumerate(exact_windows(plain))]
+        return _rows(rows)
 
     return in_batches(items, run, WINDOW_ROWS)
 
 
+def _document_rows(docs: DataFrame, shapes: list[tuple[int, bool]], only: np.ndarray | None = None) -> DataFrame:
+    """The windows of each document that have one of the shapes, which are (width, exact); only those with these hashes, if given. Of windows that are
+    exact the first of each hash is enough."""
+
+    def known(hashes: np.ndarray) -> np.ndarray:
+        return np.ones(len(hashes), bool) if only is None else only[np.minimum(np.searchsorted(only, hashes), len(only) - 1)] == hashes
+
+    def run(batch: pa.RecordBatch) -> dict | None:
+        rows = []
+        if only is not None and not len(only):
+            return None
+        for doc, text in zip(batch.column(0).to_pylist(), texts(batch)):
+            codes, kind, words, plain = template(text)
+            for width, exact in shapes:
+                if width > len(codes):
+                    continue
+                if exact:
+                    hashes = exact_windows(plain, width)
+                    at = np.flatnonzero(known(hashes))
+                    hashes, first = np.unique(hashes[at], return_index=True)
+                    rows += [(doc, int(h), int(p), "", width, True) for h, p in zip(hashes, at[first])]
+                    continue
+                hashes, at, second = with_sentence_starts(codes, kind, plain, width)
+                found = known(hashes)
+                rows += [(doc, int(h), int(p), slots(words, kind, int(p) + int(s), width - int(s)), width, False) for h, p, s in zip(hashes[found], at[found], second[found])]
+        return _rows(rows)
+
+    return in_batches(docs, run, WINDOW_ROWS)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """doc_id, item_id, n_windows (of the item found in the document), item_windows, longest_run, n_reworded (windows whose slots differ).
 
     A window counts if its slots agree with the item's, or if each slot value of the item stands for one value throughout the document's match, so that a
-    question with other numbers or names is found, but a mere pattern of numbers is not. Null or empty texts match nothing. An item given twice counts once
+    question with other numbers or names is found, but a mere pattern of numbers is not. An item of fewer than WINDOW words is found by a window of its own
+    width, word for word or with other slot values; one without a window of LEAST_PLAIN plain words is found word for word only. Null or empty texts match nothing. An item given twice counts once
     an item_id; a null doc_id matches as a document of its own id, null."""
-    own = _window_rows(benchmark.select(F.col("item_id").alias("id"), "text")).groupBy("id", "hash").agg(F.min_by(F.struct("pos", "slots"), "pos").alias("w")).select(F.col("id").alias("item_id"), "hash", F.col("w.pos").alias("item_pos"), F.col("w.slots").alias("item_slots"))
+    own = _item_rows(benchmark.select(F.col("item_id").alias("id"), "text")).groupBy("id", "hash", "width", "exact").agg(F.min_by(F.struct("pos", "slots"), "pos").alias("w")).select(F.col("id").alias("item_id"), "hash", "width", "exact", F.col("w.pos").alias("item_pos"), F.col("w.slots").alias("item_slots"))
     own = written(own, "item-windows")
     hashes = own.select("hash").distinct()
     sent = hashes.limit(most_sent + 1).toArrow()["hash"].to_numpy()
-    in_docs = _window_rows(docs.select(F.col("doc_id").alias("id"), "text"), np.sort(sent) if len(sent) <= most_sent else None, quoted=True).withColumnRenamed("id", "doc_id")
-    totals = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
-    hit = in_docs.join(own, "hash").groupBy("doc_id", "item_id", "item_pos").agg(F.min_by(F.struct("pos", "slots", "item_slots"), "pos").alias("w"))
+    shapes = sorted((r.width, r.exact) for r in own.select("width", "exact").distinct().collect())
+    in_docs = _document_rows(docs.select(F.col("doc_id").alias("id"), "text"), shapes, np.sort(sent) if len(sent) <= most_sent else None).select(F.col("id").alias("doc_id"), "hash", "pos", "slots")
+    totals = own.groupBy("item_id").agg(F.count_distinct("item_pos").alias("item_windows"))
+    # The one window of a short item must agree with itself; of a window's places in a document the first counts, and an exact one before all others.
+    here, there = F.split("slots", "\n"), F.split("item_slots", "\n")
+    agrees = F.col("exact") | (F.col("width") == WINDOW) | (F.size(F.array_distinct(F.arrays_zip(here, there))) == F.size(F.array_distinct(there)))
+    hit = in_docs.join(own, "hash").where(agrees).groupBy("doc_id", "item_id", "item_pos").agg(F.min_by(F.struct("pos", "slots", "item_slots"), F.struct(~F.col("exact"), "pos")).alias("w"))
     pair = hit.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list(F.struct("item_pos", F.col("w.pos").alias("pos"), F.col("w.slots").alias("slots"), F.col("w.item_slots").alias("item_slots")))).alias("found"))
 
     def judge(batch: pa.RecordBatch) -> dict:

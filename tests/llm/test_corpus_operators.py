@@ -490,6 +490,21 @@ def test_shuffled_windows_give_the_same(spark):
     assert sorted(a) == sorted(b) and len(a) == 1
 
 
+@pytest.mark.parametrize("most_sent", [decontaminate.MOST_SENT, 0])
+def test_short_items_are_found_in_long_documents(spark, most_sent):
+    filler = "some quite different words that nobody asked for in this place. "
+    sums, town, seven = "What is 12 + 34 * 56 - 78?", "Paris Lyon 7 km 8 km Rome 9 km Oslo", "the farmer sells 5 apples and 5"
+    items = spark.createDataFrame([(1, "Short one."), (2, sums), (3, town), (4, seven)], "item_id long, text string")
+    texts = [
+        filler * 2 + "a short one, " + filler, filler + sums + " " + filler * 2, filler + sums.replace("34", "35") + filler, filler + town + " " + filler, filler + town.replace("7", "6") + " " + filler,
+        filler + "Then the farmer sells 6 apples and 6 " + filler, filler + "then the farmer sells 6 apples and 7 " + filler, filler + seven.replace("5", "4", 1) + " " + filler + seven, filler * 4, "one short", "short ONE",
+    ]
+    found = decontaminate.matches(make(spark, texts), items, most_sent=most_sent)
+    got = {(r.doc_id, r.item_id): r for r in found.where(decontaminate.contaminated(found)).collect()}
+    assert set(got) == {(0, 1), (1, 2), (3, 3), (5, 4), (7, 4), (10, 1)}
+    assert got[5, 4].n_reworded == 1 and got[7, 4].n_reworded == 0 and all(r.n_windows <= r.item_windows for r in got.values())
+
+
 def test_decontamination_odd_and_empty(odd, nothing, spark):
     assert decontaminate.op10_decontaminate(odd, bench(spark)).collect() == []
     assert decontaminate.op10_decontaminate(nothing, bench(spark)).collect() == []
