@@ -26,6 +26,12 @@ MARKED_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{_ALWAYS})(?:$|[\s_-])", re.I)
 MARKED = re.compile(rf"(?:^|[\s_-])(?:{_ALWAYS}|{_OUTSIDE})(?:$|[\s_-])", re.I)
 #: Elements that may close an open one of the same kind, as HTML lets their end tags be left out. Fixed values.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that leave a head open; text or any other element ends it. Fixed values.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
+#: Elements whose blocks are judged together; within an article a section is no box of its own. Fixed values.
+BOXES = frozenset("center details div fieldset search section".split())
+#: Lists and tables, headings, and elements of running text. Fixed values.
+LISTS, HEADINGS, PROSE = frozenset("dl figure ol table ul".split()), frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("blockquote p pre".split())
 SCOPES = frozenset("article section div body ul ol dl table td th main blockquote html".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([A-Za-z][A-Za-z0-9:-]*)[^>]*>|<([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
@@ -36,19 +42,23 @@ _MARKS = re.compile(r"[.,;:!?…。，]")
 
 
 class Block:
-    __slots__ = ("path", "parts", "banned", "links")
+    __slots__ = ("path", "parts", "banned", "links", "box", "listed")
 
-    def __init__(self, path: str, banned: bool):
-        self.path, self.parts, self.banned, self.links = path, [], banned, 0
+    def __init__(self, path: str, banned: bool, box: tuple[int, ...] = (0,), listed: bool = False):
+        self.path, self.parts, self.banned, self.links, self.box, self.listed = path, [], banned, 0, box, listed
 
     def text(self) -> str:
         return _SPACE.sub(" ", "".join(self.parts)).strip()
 
+    def mostly_links(self) -> bool:
+        return 2 * self.links >= len(self.text())
+
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, each with the path of tags that leads to it."""
+    """The page's blocks in order, each with the path of tags and the boxes that lead to it."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, banned, in a link
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...], bool]] = []  # tag, path, banned, in a link, boxes, in a list of the last box
+    n_boxes = 0
     now: Block | None = None
     at, n = 0, len(page)
     while at < n:
@@ -57,10 +67,12 @@ def blocks(page: str) -> list[Block]:
             break
         at = m.end()
         closing, tag, attributes, text = m.groups()
+        if stack and stack[-1][0] == "head" and (text.strip() if text is not None else tag and tag.lower() not in HEAD):
+            stack.pop()
         if text is not None:
-            banned, linked = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+            banned, linked, box, listed = stack[-1][2:] if stack else (False, False, (0,), False)
             if now is None:
-                now = Block(next((s[1] for s in reversed(stack) if s[0] in BLOCKS), ""), banned)
+                now = Block(next((s[1] for s in reversed(stack) if s[0] in BLOCKS), ""), banned, box, listed)
                 out.append(now)
             value = html.unescape(text)
             if banned and not now.banned:
@@ -93,13 +105,17 @@ def blocks(page: str) -> list[Block]:
                             break
             if tag in VOID or attributes.endswith("/"):
                 continue
-            above = stack[-1] if stack else ("", "", False, False)
+            above = stack[-1] if stack else ("", "", False, False, (0,), False)
             in_content = any(s[0] in ("article", "main") for s in stack)
             banned = above[2] or tag in NEVER or (tag == "header" and not in_content)
             if attributes and not banned and tag not in ("html", "body", "article", "main"):
                 marked = MARKED_INSIDE if in_content else MARKED
                 banned = any(marked.search(" ".join(filter(None, a))) for a in _ATTRIBUTE.findall(attributes)) or bool(_HIDDEN.search(attributes))
-            stack.append((tag, f"{above[1]}/{tag}", banned, above[3] or tag == "a"))
+            box, listed = above[4], above[5] or tag in LISTS
+            if tag in BOXES and not listed and not (tag == "section" and in_content):
+                n_boxes += 1
+                box = (*box[-7:], n_boxes)
+            stack.append((tag, f"{above[1]}/{tag}", banned, above[3] or tag == "a", box, listed))
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 stack.pop()
@@ -135,22 +151,44 @@ def path_scores(found: list[Block]) -> dict[str, float]:
     return smooth
 
 
+def boxed(found: list[Block]) -> list[int]:
+    """The box that each block is judged with. A box of lists and tables alone, if not mostly of links, goes with the one around it."""
+    length: dict[int, list[int]] = {}
+    for b in found:
+        row = length.setdefault(b.box[-1], [0, 0, 0])
+        row[0] += len(b.text())
+        row[1] += b.links
+        row[2] += not b.listed
+    return [next((x for x in reversed(b.box) if x in length and (length[x][2] or 2 * length[x][1] >= length[x][0])), b.box[0]) for b in found]
+
+
 def main_text(page: str) -> str:
     """Blocks of the main text, one line each.
 
-    Blocks in elements or classes that never hold main text are left out. Where the page marks an article or main part, its blocks are the text but for
-    paths of mere links; elsewhere paths that score at least a fifth of the best one are."""
+    Blocks in elements or classes that never hold main text are left out. Where the page marks an article or main part, only its blocks count. Paths that
+    score at least a fifth of the best one are kept, and in a marked part all running text that is not mostly links. What shares a box with them stays: short
+    items, cells and lists of links, these outside a marked part only after kept text, and beside the page's own body only between kept text. Headings go
+    with what follows them."""
     found = [b for b in blocks(page) if not b.banned]
     if not found:
         return ""
     scores = path_scores(found)
     marked = [b for b in found if "/article" in b.path or "/main" in b.path]
-    if marked:
-        kept = [b for b in marked if scores[b.path] > 0 or b.links == 0]
-    else:
-        least = 0.2 * max(scores.values())
-        kept = [b for b in found if scores[b.path] >= least and scores[b.path] > 0]
-    return "\n".join(b.text() for b in kept)
+    own = marked or found
+    least, linked, boxes = 0.2 * max(scores[b.path] for b in own), [b.mostly_links() for b in own], boxed(own)
+    last = [b.path.rpartition("/")[2] for b in own]
+    strong = [scores[b.path] > 0 and scores[b.path] >= least or bool(marked) and not l and t in PROSE for b, l, t in zip(own, linked, last)]
+    if marked and not any(strong):
+        return "\n".join(b.text() for b in own)
+    first, final = {}, {}
+    for i, (x, s) in enumerate(zip(boxes, strong)):
+        if s:
+            first.setdefault(x, i)
+            final[x] = i
+    keep = [s or x in first and (bool(marked) or not l or first[x] < i and (x > 0 or i < final[x])) for i, (x, s, l) in enumerate(zip(boxes, strong, linked))]
+    for i in range(len(own) - 2, -1, -1):
+        keep[i] = keep[i] or last[i] in HEADINGS and not linked[i] and keep[i + 1]
+    return "\n".join(b.text() for b, k in zip(own, keep) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -393,6 +393,29 @@ def test_html_without_article_uses_path_ratios():
     assert html_text.main_text(page).split("\n") == text
 
 
+LONG = "A sentence with words, and some more of them; it goes on. " * 10
+
+
+def test_html_open_head_ends_with_the_first_element_or_text():
+    for rest in ("<body><p>Some words, here.</p>", "<p>Some words, here.", "<div>Some words, here.</div>", "Some words, here."):
+        assert html_text.main_text(f"<html><head><title>T</title><meta charset=utf-8><script>x()</script>{rest}") == "Some words, here."
+
+
+def test_html_ratios_decide_within_main():
+    page = f"<body><main><div><h1>Title</h1></div><div><p>{LONG}</p><p>{LONG}</p><ul><li>short</li></ul></div><div>Posted today</div><div><a href=/a>one</a> <a href=/b>two</a></div></main></body>"
+    assert html_text.main_text(page).split("\n") == ["Title", LONG.strip(), LONG.strip(), "short"]
+
+
+def test_html_keeps_references_in_an_article():
+    page = f"<body><article><h1>Title</h1><p>{LONG}</p><p>Short one.</p><div><table><tr><td>1<td>2</table></div><section><h2>References</h2><ul><li><a href=/a>first source</a></li><li><a href=/b>second source</a></li></ul></section></article></body>"
+    assert html_text.main_text(page).split("\n") == ["Title", LONG.strip(), "Short one.", "1", "2", "References", "first source", "second source"]
+
+
+def test_html_keeps_short_items_beside_paragraphs_without_article():
+    page = f"<body><ul><li><a href=/h>home</a></li></ul><div><h2>Head</h2><p>{LONG}</p><ul><li>one</li><li>two</li></ul><table><tr><td>3<td>4</table><ol><li><a href=/r>source</a></li></ol></div><div>Site info</div></body>"
+    assert html_text.main_text(page).split("\n") == ["Head", LONG.strip(), "one", "two", "3", "4", "source"]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "no tags", "<p>a<p", "</p></div>x", "<script>never closed", "<!-- never closed", "&#xfffffff; &bogus;", "<a href='>'>q</a>", "<p>" * 3000 + "deep"])
 def test_html_never_breaks(page):
     assert isinstance(html_text.main_text(page), str)
