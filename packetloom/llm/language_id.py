@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from .common import in_batches, texts, written
 
 BUCKETS = 1 << 14
-#: Documents that the text model is fitted on, at most; those with the lowest hash of doc_id.
+#: Documents of each language that the text model is fitted on, about, where there are more; those with the lowest hashes of doc_id.
 FIT_DOCS = 3000
-MOST_LANGUAGES = 64
 #: Trigrams count as independent up to this number; more of them add no certainty.
 EFFECTIVE = 60
 #: How often a declared language, or one named by a suffix, is the true one.
@@ -43,7 +42,9 @@ class TextModel:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
-        p = (counts + 0.5) / (counts + 0.5).sum(axis=0)
+        total = counts.sum(axis=0)
+        p = counts + 0.5 * total / max(1.0, total.max(initial=0.0))  # an unseen trigram is as likely in a rare language as in a common one
+        p = p / p.sum(axis=0)
         self.log_p = np.log(p).astype(np.float32)
         own = (p * np.log(p)).sum(axis=0)
         self.floor = float(own.min() * 0.4 + np.log(1 / BUCKETS) * 0.6 - 1.0) if languages else 0.0
@@ -59,10 +60,12 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, most: int = FIT_DOCS) -> TextModel:
-    """labelled: doc_id, text, declared. Counts come summed from the executors; only (bucket, language) sums reach the driver."""
-    known = labelled.where(F.col("declared").isNotNull() & F.col("doc_id").isNotNull())
-    ids = known.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most).select("doc_id").distinct()
-    sample = written(known.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "declared").repartition(8), "language-sample")
+    """labelled: doc_id, text, declared. Every declared language with letters in its texts is one of the model, however rare: they are counted over all rows, and each has a
+    sample of its own. Counts come summed from the executors; only (bucket, language) sums reach the driver."""
+    known = labelled.where(F.col("declared").isNotNull())
+    shares = written(known.groupBy("declared").agg((F.lit(float(most)) / F.count(F.lit(1))).alias("share")), "languages")
+    place = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    sample = written(known.join(F.broadcast(shares), "declared").where(place < F.col("share")).select("doc_id", "text", "declared").repartition(8), "language-sample")
 
     def count(batch: pa.RecordBatch) -> dict | None:
         by: dict[str, np.ndarray] = {}
@@ -73,14 +76,10 @@ def fit_text_model(labelled: DataFrame, most: int = FIT_DOCS) -> TextModel:
         return dict(zip(("declared", "bucket", "n"), map(list, zip(*rows)))) if rows else None
 
     got = in_batches(sample, count, "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    totals: dict[str, int] = {}
-    for lang, n in zip(got["declared"], got["n"]):
-        totals[lang] = totals.get(lang, 0) + n
-    languages = sorted(sorted(totals, key=lambda k: (-totals[k], k))[:MOST_LANGUAGES])
+    languages = sorted(set(got["declared"]))
     counts, place = np.zeros((BUCKETS, len(languages))), {k: i for i, k in enumerate(languages)}
     for lang, bucket, n in zip(got["declared"], got["bucket"], got["n"]):
-        if lang in place:
-            counts[bucket, place[lang]] = n
+        counts[bucket, place[lang]] = n
     return TextModel(languages, counts)
 
 

@@ -301,6 +301,17 @@ def test_language_of_pages(spark):
     assert got[1].language == "en" and got[3].language == "fr" and got[2].language is None and not got[2].accepted
 
 
+def test_every_declared_language_is_known(spark):
+    r = random.Random(12)
+    rare = {f"r{i:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for i in range(70)}
+    rows = [(i, " ".join(r.choice(LANGS["en"].split()) for _ in range(40)), "en", "a0") for i in range(6000)]
+    rows += [(10_000 + 3 * i + k, " ".join(r.choice(words) for _ in range(40)), lang, "a0") for i, (lang, words) in enumerate(rare.items()) for k in range(3)]
+    rows += [(20_000, " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(40)), None, "a0")]
+    got = {x.doc_id: x for x in language_id.op5_language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].language == lang and got[i].accepted for i, _, lang, _ in rows[:-1])
+    assert not got[20_000].accepted  # text in no language is not drawn to a rare one
+
+
 def test_language_odd_and_empty(odd, nothing):
     rows = language_id.op5_language_id(odd).collect()
     assert len(rows) == odd.count() and not any(r.accepted for r in rows if r.doc_id in (1, 2, 3))
