@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, texts, written
+from .common import BATCH_ROWS, in_batches, texts, written
 
-BUCKETS, DIM, NONZERO = 4096, 48, 4
+BUCKETS, DIM, NONZERO = 1 << 16, 48, 4
 SHAPES = 512
 #: Labelled rows that are learned from, at most; those with the lowest hash of doc_id.
 FIT_ROWS = 4000
 REMEMBERED = 300_000
+#: Words whose contexts are added at once, about, and buckets in a row of sums.
+WORDS_AT_ONCE, CHUNK = 200_000, 64
 FOLDS = 5
 #: From this score on, 1 is predicted.
 THRESHOLD = 0.3
@@ -44,20 +46,65 @@ def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return packed >> 12, packed & 4095
 
 
-def index_vectors(seed: int = 11) -> np.ndarray:
-    """Sparse random vectors of -1 and 1, one a bucket."""
+def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse random vectors, one a bucket: the places that are not zero, and -1 or 1 for each."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((BUCKETS, DIM), np.float32)
-    for row in out:
-        row[rng.choice(DIM, NONZERO, replace=False)] = rng.choice((-1.0, 1.0), NONZERO)
-    return out
-
-
-def context_sums(words: list[str], index: np.ndarray, out: np.ndarray) -> None:
-    """Adds to each word's row the index vectors of the shapes and words beside it."""
-    own, shape = buckets(words)
-    for a, b in ((own[:-1], own[1:]), (own[1:], own[:-1]), (own, shape), (shape[1:], shape[:-1]), (shape[:-1], shape[1:])):
-        np.add.at(out, a, index[b])
+    return rng.random((BUCKETS, DIM)).argpartition(NONZERO, axis=1)[:, :NONZERO], rng.choice(np.array((-1, 1)), (BUCKETS, NONZERO))
+
+
+def context_sums(documents: list[list[str]], places: np.ndarray, signs: np.ndarray, out: np.ndarray, pairs: np.ndarray) -> None:
+    """Adds to each word's row the index vectors of the shape of the word and of the words beside it in its document, and counts pairs of shapes beside each
+    other; out and pairs are flat."""
+    own, shape = buckets([w for words in documents for w in words])
+    beside = np.ones(len(own), bool)
+    beside[np.cumsum(list(map(len, documents))) - 1] = False
+    left = np.flatnonzero(beside[:-1])
+    pairs += np.bincount(shape[left] * SHAPES + shape[left + 1], minlength=len(pairs))
+    rows, others = np.concatenate((own[left], own[left + 1], own)), np.concatenate((own[left + 1], own[left], shape))
+    for i in range(0, len(rows), 3 * WORDS_AT_ONCE):
+        part = others[i : i + 3 * WORDS_AT_ONCE]
+        out += np.bincount((rows[i : i + 3 * WORDS_AT_ONCE, None] * DIM + places[part]).ravel(), signs[part].ravel(), minlength=len(out))
+
+
+def all_contexts(docs: DataFrame) -> np.ndarray:
+    """Context sums by bucket over all documents with two words or more: one array a task, summed by ranges of buckets."""
+    places, signs = index_vectors()
+
+    def per_task(batches):
+        out, pairs, held, n = np.zeros(BUCKETS * DIM), np.zeros(SHAPES * SHAPES, np.int64), [], 0
+        for batch in batches:
+            for text in texts(batch):
+                if len(words := text.split()) > 1:
+                    held.append(words)
+                    n += len(words)
+                if n >= WORDS_AT_ONCE:
+                    context_sums(held, places, signs, out, pairs)
+                    held, n = [], 0
+        if held:
+            context_sums(held, places, signs, out, pairs)
+        index = np.zeros((SHAPES, DIM))
+        np.put_along_axis(index, places[:SHAPES], signs[:SHAPES].astype(float), axis=1)
+        counts = pairs.reshape(SHAPES, SHAPES)
+        out[: SHAPES * DIM] += ((counts + counts.T) @ index).ravel()
+        rows = out.astype(np.int32).reshape(-1, CHUNK * DIM)
+        used = np.flatnonzero(rows.any(axis=1))
+        for i in range(0, len(used), CHUNK):
+            part = used[i : i + CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([r.tobytes() for r in rows[part]], pa.binary())], names=["chunk", "sums"])
+
+    def summed(batches):
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out[chunk] = out.get(chunk, 0) + np.frombuffer(sums, np.int32).astype(np.int64)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([v.tobytes() for v in out.values()], pa.binary())], names=["chunk", "sums"])
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    total = np.zeros((BUCKETS // CHUNK, CHUNK * DIM), np.int64)
+    for r in docs.select("text").mapInArrow(per_task, "chunk long, sums binary").repartition(16, "chunk").mapInArrow(summed, "chunk long, sums binary").toLocalIterator():
+        total[r[0]] = np.frombuffer(r[1], np.int64)
+    return total.reshape(BUCKETS, DIM)
 
 
 def document_vector(text: str, vectors: np.ndarray) -> np.ndarray:
@@ -69,7 +116,8 @@ def document_vector(text: str, vectors: np.ndarray) -> np.ndarray:
     own, shape = buckets(words)
     chars = sum(map(len, words))
     ratios = (np.log1p(n) / 10, len(set(words)) / n, chars / n / 10, sum(map(str.isupper, words)) / n, sum(map(str.isalpha, words)) / n, len(text.split("\n")) / n)
-    return np.concatenate((np.bincount(own, minlength=BUCKETS) @ vectors / n, np.bincount(shape, minlength=SHAPES) @ vectors[:SHAPES] / n, ratios)).astype(np.float32)
+    pooled = np.bincount(own, minlength=BUCKETS) @ vectors if n > BUCKETS else vectors[own].sum(axis=0, dtype=np.float64)
+    return np.concatenate((pooled / n, np.bincount(shape, minlength=SHAPES) @ vectors[:SHAPES] / n, ratios)).astype(np.float32)
 
 
 class TwoLayers:
@@ -112,21 +160,15 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[np.ndarray, TwoLayers | None]:
-    """Word vectors and network from the labelled rows that are not held out. Context sums and document vectors are made on the executors."""
+    """Word vectors from all documents, and the network from the labelled rows that are not held out. Context sums and document vectors are made on the
+    executors."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     own = own.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most).drop("h")
     sample = written(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").repartition(8), "quality-sample")
-    index = index_vectors()
-
-    def contexts(batch: pa.RecordBatch) -> dict:
-        out = np.zeros((BUCKETS, DIM), np.float32)
-        for text in texts(batch):
-            if len(words := text.split()) > 1:
-                context_sums(words, index, out)
-        return {"sums": [out.tobytes()]}
-
-    sums = sum((np.frombuffer(r[0], np.float32).reshape(BUCKETS, DIM) for r in in_batches(sample, contexts, "sums binary").toLocalIterator()), np.zeros((BUCKETS, DIM), np.float32))
-    vectors = index + sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)
+    places, signs = index_vectors()
+    sums = all_contexts(docs)
+    vectors = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)).astype(np.float32)
+    vectors[np.arange(BUCKETS)[:, None], places] += signs
 
     def pool(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column(0), "quality": batch.column(batch.schema.get_field_index("quality")).cast(pa.int64()), "x": [document_vector(t, vectors).astype(float).tolist() for t in texts(batch)]}

@@ -377,6 +377,29 @@ def test_quality_on_rows_held_out(spark):
     assert {x.doc_id: x.score for x in quality.op7_quality(docs, other).collect()} == {x.doc_id: x.score for x in got}
 
 
+def test_word_vectors_come_from_all_documents(spark):
+    texts = [(1, "alpha beta gamma"), (2, "delta epsilon delta zeta"), (3, "one"), (4, None)] + [(10 + i, f"word{i} of many") for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    vectors, _ = quality.fit(docs, labels)
+    places, signs = quality.index_vectors()
+    index = np.zeros((quality.BUCKETS, quality.DIM))
+    index[np.arange(quality.BUCKETS)[:, None], places] = signs
+    expected = np.zeros_like(index)
+    for _, text in texts:
+        own, shape = quality.buckets((text or "").split())
+        for i in range(len(own) if len(own) > 1 else 0):
+            expected[own[i]] += index[shape[i]]
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(own):
+                    expected[own[i]] += index[own[j]]
+                    expected[shape[i]] += index[shape[j]]
+    expected = index + expected / np.maximum(np.linalg.norm(expected, axis=1, keepdims=True), 1e-6)
+    assert np.allclose(vectors, expected, atol=1e-5)
+    unlabelled = quality.buckets(["epsilon"])[0][0]
+    assert not np.allclose(vectors[unlabelled], index[unlabelled])
+
+
 def test_quality_odd_and_empty(odd, nothing, spark):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, None), (None, 1, 1), (7, None, 0), (5, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
     rows = quality.op7_quality(odd, labels).collect()
