@@ -30,7 +30,7 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 
 #: High-recall proposals of the further kinds.
 _PROPOSALS = {
-    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,128}={0,2}(?![A-Za-z0-9_/+=-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+={0,2}(?![A-Za-z0-9_/+=-])"),
     "ipv6": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "local_phone": re.compile(r"(?<![0-9+(])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"),
@@ -89,7 +89,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Overlapping candidates of the further kinds."""
-    if not _DIGIT.search(text) and "at" not in text.lower():
+    if not _DIGIT.search(text) and ":" not in text and "at" not in text.lower():
         return [("secret", *m.span()) for m in _PROPOSALS["secret"].finditer(text)]
     return [(k, *m.span()) for k, p in _PROPOSALS.items() for m in p.finditer(text)]
 
@@ -127,7 +127,7 @@ def _examples(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     def one(kind: str, real: bool) -> str:
         if kind == "secret":
-            return ("".join(r.choice(hexes if r.random() < 0.5 else letters + letters.upper() + "0123456789") for _ in range(r.randint(24, 64))) if r.random() < 0.5 else "".join(r.choice(hexes) for _ in range(r.choice((32, 40, 64))))) if real else r.choice((word(25), "-".join(word() for _ in range(6)), "/".join(word() for _ in range(5)), "x" * 30, "-" * 40, word(22).upper(), num(24)))
+            return ("".join(r.choice(hexes if r.random() < 0.5 else letters + letters.upper() + "0123456789") for _ in range(r.randint(24, 64) if r.random() < 0.8 else r.randint(65, 600))) if r.random() < 0.5 else "".join(r.choice(hexes) for _ in range(r.choice((32, 40, 64))))) if real else r.choice((word(25), "-".join(word() for _ in range(6)), "/".join(word() for _ in range(5)), "x" * 30, "-" * 40, word(22).upper(), num(24)))
         if kind == "ipv6":
             return ":".join("".join(r.choice(hexes) for _ in range(4)) for _ in range(8)) if real else r.choice((f"{num(2)}:{num(2)}:{num(2)}", "::1", "a:b:c", f"1:{num(1)}:{num(1)}:3"))
         if kind == "iban":

@@ -96,6 +96,19 @@ def test_boosting_fits_a_rule():
     assert ((trees.probability(x[500:]) > 0.5) == (y[500:] > 0)).mean() > 0.9
 
 
+@pytest.mark.parametrize("n", [40, 128, 129, 300, 2000])
+def test_pii_long_tokens_are_secrets(n):
+    r = random.Random(n)
+    token = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    text = f"some words and the token: {token} and more"
+    assert pii.spans(text, *pii.model())["secret"] == [(26, 26 + n)]
+    assert pii.redact(text, pii.spans(text, *pii.model())) == "some words and the token: <secret> and more"
+
+
+def test_pii_proposes_addresses_of_letters_only():
+    assert ("ipv6", 7, 46) in pii.proposals("server abcd:efab:cdef:abcd:efab:cdef:abcd:efab")
+
+
 def test_pii_odd_and_empty(odd, nothing):
     rows = pii.op2_pii(odd).collect()
     assert len(rows) == odd.count() and [r.n_card for r in rows if r.doc_id == 9] == [1]
