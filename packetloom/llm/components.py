@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
-MOST_ROUNDS = 40
+from .common import scratch, written
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -28,16 +26,11 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of every node that has an edge. edges: a, b (long, not null), in any direction, repeated or not."""
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = _sum(now)
-    for _ in range(MOST_ROUNDS):
-        if not before[0]:
-            break
-        now = _stars(_stars(now, True), False)
-        after = _sum(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with scratch():
+        now = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        before = None
+        while (count := _sum(now)) != before and count[0]:
+            before = count
+            now = _stars(_stars(now, True), False)
+        nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return written(nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components", keep=True)

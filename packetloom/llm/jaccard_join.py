@@ -1,51 +1,101 @@
-"""Near-duplicate join on word shingles: exact blocks, a signature tree in each, dual traversal, exact verification.
+"""Near-duplicate join on word shingles: signature trees with OR-combined bitmaps and size ranges, joined by dual traversal, in exact blocks.
 
-Two sets that are alike enough differ in few shingles. Shingles are dealt by hash into one part more than that, so the sets agree on a part; a block
-holds the sets that agree on one. No link is lost. Sets that are equal are one class from the start. Most blocks are settled by linking their sets to
-one of them; where sets of several components share a block, its signature tree is searched for all pairs across them."""
+Shingles have one order for the whole corpus, the rare ones first. Two sets that are alike enough share one of the first few of each, so the sets that share
+one of those are a block, and no link is lost. Blocks with the same least set are one family. A tree of bitmaps over a family is joined with itself; what it
+leaves apart cannot be alike. What it brings together becomes a tree of whole sets, whose traversal verifies each pair at the leaves and passes over pairs
+that are linked already. Sets that are equal are one class from the start."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, in_batches, texts, written
+from .common import in_batches, per_task, scratch, texts, written
 from .components import components
 
-REMEMBERED = 300_000
-#: 64-bit words of a set's bitmap, and children of a tree's node.
-BITMAP_WORDS, FANOUT = 64, 8
-#: Rounds of linking to one member before the trees.
-STAR_ROUNDS = 2
+#: Bytes of text that are hashed at once, about.
+SEGMENT = 1 << 20
+#: Counters of the sketch of shingle counts, from which their order comes, and parts in which it travels. The order only decides how many
+#: sets meet in a block; links are the same with any.
+COUNTERS, CHUNKS = 1 << 24, 64
+#: Children of a tree's node.
+FANOUT = 8
+#: Sets, and bytes of them, in one tree at most. Larger groups are cut in cells.
+CELL_SETS, CELL_BYTES = 4096, 32 << 20
+#: Digests that a task remembers, and bits that a filter of ids has for each of them, and in all at most.
+REMEMBERED, FILTER_BITS, MOST_FILTER_BITS = 300_000, 16, 1 << 27
+
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_BASE = int(_M1)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        n = self[word] = xxhash.xxh64_intdigest(word)
-        return n
+def _mixed(x: np.ndarray, by: np.uint64) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * by
+    return x ^ (x >> np.uint64(29))
 
 
-_words = _Words()
+# ---- shingles
 
 
-def _mixed(x: np.ndarray, by: np.uint64) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * by
-    return x ^ (x >> np.uint64(29))
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
 
-def shingles(text: str, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles; A-Z count as lower case. With fewer words than size, one hash of them all."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
+class _Powers:
+    """Powers of the base of word hashes and of its inverse modulo 2**64, as many as the longest text so far asked for."""
+
+    up = down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+
+
+_powers_of_base = _Powers()
+_FOLD = np.arange(1, 257, dtype=np.uint64)
+_FOLD[65:91] = _FOLD[97:123]
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _hash_words(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the bytes x, A-Z as lower case, and where it begins: differences of prefix sums of a polynomial, shifted to one place."""
+    space = np.ones(len(x) + 2, bool)
+    space[1:-1] = _IS_SPACE[x]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[0::2], edges[1::2]
+    _powers_of_base.reach(len(x) + 1)
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(_FOLD[x] * _powers_of_base.up[: len(x)], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * _powers_of_base.down[starts], _M2), starts
+
+
+def word_hashes(raw: bytes, segment: int = SEGMENT) -> np.ndarray:
+    """Hashes of all words of a text, which is read in segments that end at white space."""
+    x = np.frombuffer(raw, np.uint8)
+    out, at = [], 0
+    while at < len(x):
+        end = at + segment
+        while end < len(x) and not len(last := np.flatnonzero(_IS_SPACE[x[at:end]])):
+            end += segment
+        end = at + int(last[-1]) + 1 if end < len(x) else len(x)
+        out.append(_hash_words(x[at:end])[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _of_words(w: np.ndarray, size: int) -> np.ndarray:
+    n = len(w)
     if not n:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+        return w
     width = min(size, n)
     h = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
@@ -53,297 +103,515 @@ def shingles(text: str, size: int) -> np.ndarray:
     return np.unique(h)
 
 
-class Scheme:
-    """Size classes and numbers of parts for a similarity of percent / 100."""
-
-    def __init__(self, percent: int, most: int = 1 << 40):
-        self.percent = percent
-        self.ends, start = [], 1
-        while start <= most:
-            self.ends.append(start * 100 // percent)
-            start = self.ends[-1] + 1
-        self.ends_array = np.array(self.ends)
-
-    def parts(self, k: int) -> int:
-        """Parts in class k: two more than two alike sets of it can differ in, or 0 where only equal sets are alike."""
-        differ = self.ends[k] * 2 * (100 - self.percent) // (100 + self.percent)
-        return differ + 2 if differ else 0
-
-    def signatures(self, h: np.ndarray) -> np.ndarray:
-        """One hash for each part, in the set's own class and the next. A part without shingles counts only where there are several."""
-        own = int(np.searchsorted(self.ends_array, len(h)))
-        out: list[np.ndarray] = []
-        for k in (own, own + 1):
-            p = self.parts(k)
-            if not p:
-                continue
-            part = (_mixed(h, _M2) % np.uint64(p)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            sums = np.zeros(p, np.uint64)
-            firsts = np.flatnonzero(np.diff(part[order], prepend=-1))
-            sums[part[order][firsts]] = np.add.reduceat(_mixed(h, _M3)[order], firsts)
-            seen = np.zeros(p, bool)
-            seen[part] = True
-            if p - seen.sum() > 1:
-                seen[:] = True
-            at = np.flatnonzero(seen)
-            out.append(_mixed(_mixed(sums[at] ^ np.uint64(k), _M1) ^ at.astype(np.uint64), _M2))
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+def shingles(text: str, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word shingles; A-Z count as lower case. With fewer words than size, one hash of them all."""
+    return _of_words(word_hashes(text.encode("utf-8", "surrogatepass")), size)
+
+
+def all_shingles(own: list[str], size: int) -> Iterator[np.ndarray]:
+    """shingles() of each text; short texts are hashed together."""
+    held: list[bytes] = []
+    held_bytes = 0
+
+    def flush() -> Iterator[np.ndarray]:
+        w, starts = _hash_words(np.frombuffer(b" ".join(held) + b" ", np.uint8))
+        cuts = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in held]))
+        for a, b in zip([0, *cuts], cuts):
+            yield _of_words(w[a:b], size)
+
+    for text in own:
+        raw = text.encode("utf-8", "surrogatepass")
+        if held and held_bytes + len(raw) > SEGMENT:
+            yield from flush()
+            held, held_bytes = [], 0
+        if len(raw) > SEGMENT:
+            yield _of_words(word_hashes(raw), size)
+        else:
+            held.append(raw)
+            held_bytes += len(raw) + 1
+    if held:
+        yield from flush()
 
 
 def _digest(h: np.ndarray, by: np.uint64) -> int:
     return int(_mixed(h, by).sum(dtype=np.uint64).view(np.int64))
 
 
+# ---- the order of shingles, and blocks
+
+
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _packed_counts(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Each part of the counters that is not all zeros: which counters are used, and their counts."""
+    for k, part in enumerate(counts.reshape(CHUNKS, -1)):
+        used = part > 0
+        if used.any():
+            yield k, zstandard.compress(np.packbits(used).tobytes() + part[used].tobytes(), 1)
+
+
+def _unpacked_counts(blob: bytes) -> np.ndarray:
+    raw, size = zstandard.decompress(blob), COUNTERS // CHUNKS
+    out = np.zeros(size, np.int64)
+    out[np.unpackbits(np.frombuffer(raw, np.uint8, size // 8)).astype(bool)] = np.frombuffer(raw, np.uint32, offset=size // 8)
+    return out
+
+
+def _levels(sketch: DataFrame) -> np.ndarray:
+    """By counter, how far its count is above the mean, in eighths of a power of two: one byte each, summed and rounded on the executors."""
+
+    def summed(batches):
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k not in out:
+                    out[k] = np.zeros(COUNTERS // CHUNKS, np.int64)
+                out[k] += _unpacked_counts(blob)
+        for k, counts in out.items():
+            log = np.clip(np.round(8 * np.log2(np.maximum(counts, 1))), 0, 511).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([log.tobytes()], pa.binary())], names=["chunk", "total", "levels"])
+
+    rows = sketch.repartition(CHUNKS, "chunk").mapInArrow(summed, "chunk long, total long, levels binary").collect()
+    mean = 8 * np.log2(max(1.0, sum(r.total for r in rows) / COUNTERS))
+    out = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint8)
+    for r in rows:
+        out[r.chunk] = np.clip(np.frombuffer(r.levels, np.uint16).astype(int) - round(mean), 0, 255)
+    return out.ravel()
+
+
+def prefix(h: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the order of their levels: as many as it must share one of with any set of its size or less that is alike
+    enough, and how many of them it must share one of with any set of its size or more."""
+    n = len(h)
+    key = (levels[_counter(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+    most, least = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+    return np.sort(np.partition(key, most - 1)[:most]), least
+
+
+# ---- trees
+
+
 def bitmap(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, np.uint8)
-    bits[(_mixed(h, _M1) % np.uint64(BITMAP_WORDS * 64)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+    """Words of a bitmap of at least two bits a shingle, a power of two. The longer of two bitmaps of a set, cut in halves and OR-ed, is the shorter."""
+    n_bits = max(64, 1 << (2 * len(h) - 1).bit_length())
+    bits = np.zeros(n_bits, np.uint8)
+    bits[(_mixed(h, _M1) % np.uint64(n_bits)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows) cut to so many words and OR-ed."""
+    return np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, words), axis=-2)
+
+
+def _tiled(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows) as if each bit stood for all that it may stand for in a longer one."""
+    return np.tile(bits, words // bits.shape[-1]) if words > bits.shape[-1] else bits
+
+
+def _count(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits).sum(axis=-1, dtype=np.int64)
+
+
+def _only(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that only a has, each of which stands for a shingle that only a has."""
+    wa, wb = a.shape[-1], b.shape[-1]
+    return _count(a & ~(_folded(b, wa) if wa < wb else _tiled(b, wa)))
+
+
+def _lowest(bits: np.ndarray) -> int:
+    i = int((bits != 0).argmax())
+    return 64 * i + (int(bits[i]) & -int(bits[i])).bit_length()
 
 
 class _Node:
-    __slots__ = ("rows", "bits", "least", "most", "excess", "component", "children")
+    """bits: the OR of those below; sizes from least to most; excess: the most shingles that share bits in one of the sets."""
 
+    __slots__ = ("rows", "children", "bits", "least", "most", "excess", "all_in")
 
-class SignatureTree:
-    """Sets sorted by component and size; a node has the OR of its bitmaps, its range of sizes and the most shingles that share bits."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, components: np.ndarray, bits: np.ndarray, percent: int):
-        order = np.lexsort((sizes, components))
-        self.ids, self.sizes, self.components, self.bits, self.percent = ids[order], sizes[order], components[order], bits[order], percent
-        level = [self._leaf(np.arange(i, min(i + FANOUT, len(ids)))) for i in range(0, len(ids), FANOUT)]
+class SignatureTree:
+    """Sets sorted by length of bitmap, component and least bit. ``join`` goes through pairs of its nodes and unites what ``linked`` says."""
+
+    def __init__(self, sizes: list[int], bits: list[np.ndarray], percent: int, components: list[int] | None = None):
+        n = len(sizes)
+        self.percent, self.sizes = percent, np.array(sizes, np.int64)
+        first: dict[int, int] = {}
+        self.parent = list(range(n)) if components is None else [first.setdefault(c, i) for i, c in enumerate(components)]
+        many = set() if components is None else {c for c, k in Counter(components).items() if k > 1}
+        self.bits = bits
+        order = sorted(range(n), key=lambda i: (len(bits[i]), self.parent[i] if many and components[i] in many else -1, _lowest(bits[i]), sizes[i]))
+        level: list[_Node] = []
+        at = 0
+        while at < n:
+            end = at + 1
+            while end < min(n, at + FANOUT) and len(bits[order[end]]) == len(bits[order[at]]):
+                end += 1
+            level.append(self._leaf(order[at:end]))
+            at = end
         while len(level) > 1:
             level = [self._above(level[i : i + FANOUT]) for i in range(0, len(level), FANOUT)]
-        self.root = level[0]
+        self.root = level[0] if level else None
 
-    def _leaf(self, rows: np.ndarray) -> _Node:
+    def _leaf(self, rows: list[int]) -> _Node:
         node = _Node()
         node.rows, node.children = rows, None
-        node.bits = np.bitwise_or.reduce(self.bits[rows])
-        node.least, node.most = self.sizes[rows].min(), self.sizes[rows].max()
-        node.excess = (self.sizes[rows] - np.bitwise_count(self.bits[rows]).sum(axis=1)).max()
-        own = self.components[rows]
-        node.component = own[0] if (own == own[0]).all() else None
+        own, sizes = np.stack([self.bits[i] for i in rows]), self.sizes[rows]
+        node.bits, node.least, node.most = np.bitwise_or.reduce(own), int(sizes.min()), int(sizes.max())
+        node.excess = int((sizes - _count(own)).max())
+        node.all_in = rows[0] if all(self.find(i) == self.find(rows[0]) for i in rows) else None
         return node
 
     def _above(self, children: list[_Node]) -> _Node:
         node = _Node()
         node.rows, node.children = None, children
-        node.bits = np.bitwise_or.reduce([c.bits for c in children])
+        words = max(len(c.bits) for c in children)
+        node.bits = np.bitwise_or.reduce([_tiled(c.bits, words) for c in children])
         node.least, node.most, node.excess = min(c.least for c in children), max(c.most for c in children), max(c.excess for c in children)
-        first = children[0].component
-        node.component = first if first is not None and all(c.component == first for c in children) else None
+        self._settle(node)
         return node
 
-    def _apart(self, a: _Node, b: _Node) -> bool:
-        """Whether no set below a can link with one below b, or all are linked already."""
-        if a.component is not None and a.component == b.component:
-            return True
+    def _settle(self, node: _Node) -> None:
+        """Notes whether all sets below are in one component."""
+        one = node.rows if node.children is None else [c.all_in for c in node.children]
+        node.all_in = one[0] if one[0] is not None and all(i is not None and self.find(i) == self.find(one[0]) for i in one) else None
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def unite(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        self.parent[max(i, j)] = min(i, j)
+
+    def _together(self, a: _Node, b: _Node) -> bool:
+        return a.all_in is not None and b.all_in is not None and self.find(a.all_in) == self.find(b.all_in)
+
+    def apart(self, a: _Node, b: _Node) -> bool:
+        """Whether no set below a can be alike enough to one below b, by sizes and by the most shingles that they may share."""
         if 100 * a.most < self.percent * b.least or 100 * b.most < self.percent * a.least:
             return True
-        overlap = min(int(np.bitwise_count(a.bits & b.bits).sum()) + min(a.excess, b.excess), a.most, b.most)
-        return (100 + self.percent) * overlap < self.percent * (a.least + b.least)
-
-    def pairs(self):
-        """Pairs of ids, of different components, that may be alike enough."""
-        todo = [(self.root, self.root)]
-        while todo:
-            a, b = todo.pop()
-            if self._apart(a, b):
-                continue
-            if a.children is None and b.children is None:
-                yield from self._leaf_pairs(a.rows, b.rows)
-            elif a is b:
-                todo += [(x, y) for i, x in enumerate(a.children) for y in a.children[i:]]
-            elif b.children is None or (a.children is not None and a.most - a.least > b.most - b.least):
-                todo += [(x, b) for x in a.children]
-            else:
-                todo += [(a, y) for y in b.children]
-
-    def _leaf_pairs(self, x: np.ndarray, y: np.ndarray):
-        good = may_link(self.bits, self.sizes, x, y, self.percent) & (self.components[x][:, None] != self.components[y][None])
-        for i, j in zip(*np.nonzero(good)):
-            p, q = int(self.ids[x[i]]), int(self.ids[y[j]])
-            if p != q:
-                yield (p, q) if p < q else (q, p)
-
-
-def _by_block(batches):
-    """(sig, rows) of each block of batches that are sorted by their first column."""
+        words = max(len(a.bits), len(b.bits))
+        shared = int(_count(_tiled(a.bits, words) & _tiled(b.bits, words))) + min(a.excess, b.excess)
+        overlap = min(shared, a.most, b.most)
+        return (100 + self.percent) * overlap < self.percent * (max(a.least, overlap) + max(b.least, overlap))
+
+    def may_link(self, x: list[int], y: list[int]) -> np.ndarray:
+        """By (set of x, set of y), two leaves: the most shingles that they may share if they may be alike enough, or else 0. A bit that only one of
+        two sets has stands for a shingle that only it has."""
+        a, b = np.stack([self.bits[i] for i in x])[:, None], np.stack([self.bits[i] for i in y])[None]
+        na, nb = self.sizes[x][:, None], self.sizes[y][None]
+        only_a, only_b = _only(a, b), _only(b, a)
+        overlap = np.minimum(na - only_a, nb - only_b)
+        return np.where((100 + self.percent) * overlap >= self.percent * (na + nb), overlap, 0)
+
+    def join(self, linked) -> Iterator[tuple[int, int]]:
+        """Pairs of sets, of different components so far, for which linked(i, j) holds; they are united, so a spanning set of links results."""
+        if self.root is not None:
+            yield from self._within(self.root, linked)
+
+    def _within(self, node: _Node, linked) -> Iterator[tuple[int, int]]:
+        if node.all_in is not None:
+            return
+        if node.children is None:
+            yield from self._leaves(node.rows, node.rows, linked)
+        else:
+            for c in node.children:
+                yield from self._within(c, linked)
+            for i, c in enumerate(node.children):
+                for d in node.children[i + 1 :]:
+                    yield from self._across(c, d, linked)
+        self._settle(node)
+
+    def _across(self, a: _Node, b: _Node, linked) -> Iterator[tuple[int, int]]:
+        if self._together(a, b) or self.apart(a, b):
+            return
+        if a.children is None and b.children is None:
+            yield from self._leaves(a.rows, b.rows, linked)
+        elif b.children is None or (a.children is not None and a.most - a.least > b.most - b.least):
+            for c in a.children:
+                yield from self._across(c, b, linked)
+        else:
+            for c in b.children:
+                yield from self._across(a, c, linked)
+
+    def _leaves(self, x: list[int], y: list[int], linked) -> Iterator[tuple[int, int]]:
+        most = self.may_link(x, y)
+        i, j = np.nonzero(np.triu(most, 1) if x is y else most)
+        for k in np.argsort(-most[i, j], kind="stable"):
+            p, q = x[i[k]], y[j[k]]
+            if self.find(p) != self.find(q) and linked(p, q):
+                self.unite(p, q)
+                yield p, q
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are alike enough."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+# ---- groups in tasks
+
+
+def _by_group(batches, n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of batches that are sorted by their first columns."""
     kept: list[tuple] = []
     now = None
     for batch in batches:
-        for sig, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if sig != now and kept:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:n_keys] != now and kept:
                 yield now, kept
                 kept = []
-            now = sig
-            kept.append(tuple(row))
+            now = row[:n_keys]
+            kept.append(row[n_keys:])
     if kept:
         yield now, kept
 
 
-def _in_blocks(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.repartition("sig").sortWithinPartitions("sig").select("sig", *columns)
+def _long_batches(rows: Iterator[tuple], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    for row in rows:
+        out.append(row)
+        if len(out) == 8192:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=list(names))
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=list(names))
+
+
+def _together_by(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def may_link(bits: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether set i of x and j of y may be alike enough, by their bitmaps: a bit that only one of them has stands for a shingle that only it has."""
-    a, b, na, nb = bits[x][:, None], bits[y][None], sizes[x][:, None], sizes[y][None]
-    overlap = np.minimum(na - np.bitwise_count(a & ~b).sum(axis=2, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=2, dtype=np.int64))
-    return (100 + percent) * overlap >= percent * (na + nb)
+def _plausible(families: DataFrame, percent: int) -> DataFrame:
+    """grp, rep of the sets that a tree of bitmaps does not tell apart from all others of their family. families: family, rep, n, bits. grp: the
+    least set of those that are not told apart, directly or through others."""
 
+    def run(batches):
+        def found():
+            for _, rows in _by_group(batches, 1):
+                rows = list(dict.fromkeys(rows))
+                reps, sizes, bits = zip(*rows)
+                tree = SignatureTree(sizes, [np.frombuffer(b, np.uint64) for b in bits], percent)
+                for _ in tree.join(lambda i, j: True):
+                    pass
+                members: dict[int, list[int]] = {}
+                for i in range(len(rows)):
+                    members.setdefault(tree.find(i), []).append(reps[i])
+                for own in members.values():
+                    if len(own) > 1:
+                        yield from ((min(own), r) for r in own)
+
+        yield from _long_batches(found(), ("grp", "rep"))
 
-def with_partner(bits: np.ndarray, sizes: np.ndarray, percent: int, step: int = 256) -> np.ndarray:
-    """Which sets of a block may be alike enough with another one of it. Most are settled by the first set; the others are compared with all."""
-    n = len(sizes)
-    everything = np.arange(n)
-    good = may_link(bits, sizes, everything[:1], everything, percent)[0]
-    good[0] = good[1:].any()
-    rest = np.flatnonzero(~good)
-    for i in range(0, len(rest), step):
-        own = rest[i : i + step]
-        met = np.concatenate([may_link(bits, sizes, own, everything[j : j + step], percent) for j in range(0, n, step)], axis=1)
-        met[np.arange(len(own)), own] = False
-        good[own] |= met.any(axis=1)
-        good |= met.any(axis=0)
-    return good
+    return _together_by(families, "family").select("family", "rep", "n", "bits").mapInArrow(run, "grp long, rep long")
 
 
-def _plausible(blocks: DataFrame, percent: int) -> DataFrame:
-    """sig, rep, n of the sets that may link within their block. blocks: sig, rep, n, bits. Sets that share a passage and little else end here."""
+def _tree_links(cells: DataFrame, keys: tuple[str, ...], percent: int) -> DataFrame:
+    """a, b: links that span what is alike within each cell. cells: keys, rep, component, set."""
 
     def run(batches):
-        out: list[tuple[int, int, int]] = []
-        for sig, kept in _by_block(batches):
-            if len(kept) > 1:
-                reps, sizes, bits = zip(*kept)
-                good = with_partner(np.stack([np.frombuffer(b, np.uint64) for b in bits]), np.array(sizes), percent)
-                out += [(sig, reps[i], sizes[i]) for i in np.flatnonzero(good)]
-            if len(out) >= BATCH_ROWS * 16:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["sig", "rep", "n"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["sig", "rep", "n"])
+        def found():
+            for _, rows in _by_group(batches, len(keys)):
+                reps, comps, raw = zip(*rows)
+                sets = [np.frombuffer(s, np.uint64) for s in raw]
+                tree = SignatureTree([len(s) for s in sets], [bitmap(s) for s in sets], percent, list(comps))
+                for i, j in tree.join(lambda i, j: alike(sets[i], sets[j], percent)):
+                    if reps[i] != reps[j]:
+                        yield reps[i], reps[j]
+
+        yield from _long_batches(found(), ("a", "b"))
+
+    return _together_by(cells, *keys).select(*keys, "rep", "component", "set").mapInArrow(run, "a long, b long")
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ids (column rep) as bits; of bounded size, so that more ids let more others through and lose none. Put together by parts on the
+    executors."""
+    n_bits = min(MOST_FILTER_BITS, max(1 << 16, 1 << (FILTER_BITS * ids.count()).bit_length()))
+    size = n_bits // 8 // CHUNKS
+
+    def mark(batches):
+        bits = np.zeros(n_bits, bool)
+        for batch in batches:
+            for at in _filter_places(batch.column(0).to_numpy(), n_bits):
+                bits[at] = True
+        parts = np.packbits(bits).reshape(CHUNKS, -1)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield {"chunk": used, "bits": [parts[k].tobytes() for k in used]}
+
+    def both(batches):
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out[k] = out.get(k, 0) | np.frombuffer(bits, np.uint8)
+        yield {"chunk": list(out), "bits": [v.tobytes() for v in out.values()]}
+
+    marks = per_task(ids.select("rep"), mark, "chunk long, bits binary").repartition(CHUNKS, "chunk")
+    out = np.zeros((CHUNKS, size), np.uint8)
+    for r in per_task(marks, both, "chunk long, bits binary").collect():
+        out[r.chunk] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def _filter_places(ids: np.ndarray, n_bits: int) -> tuple[np.ndarray, ...]:
+    x = ids.astype(np.int64).view(np.uint64)
+    return tuple((_mixed(_mixed(x, a), b) % np.uint64(n_bits)).astype(np.int64) for a, b in ((_M1, _M2), (_M2, _M3), (_M3, _M1)))
+
+
+def _passes(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    out = np.ones(len(ids), bool)
+    for at in _filter_places(ids, len(bits) * 8):
+        out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """rep, set (sorted hashes as bytes) of the documents with these ids (column rep), and of a few others; each different set of an id once."""
+    known = _id_filter(ids)
+
+    def run(batch: pa.RecordBatch) -> dict | None:
+        own = np.array([-1 if x is None else x for x in batch.column(0).to_pylist()], np.int64)
+        good = np.flatnonzero(_passes(own, known) & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+        if not len(good):
+            return None
+        found = all_shingles(texts(batch.take(pa.array(good))), shingle)
+        return {"rep": own[good], "set": [h.tobytes() for h in found]}
+
+    found = in_batches(docs, run, "rep long, set binary").where(F.length("set") > 0)
+    return found.groupBy("rep").agg(F.collect_set("set").alias("set")).select("rep", F.explode("set").alias("set"))
+
+
+def _cut_in_cells(groups: DataFrame, most_sets: int, most_bytes: int) -> DataFrame:
+    """groups (grp, rep, n) with cells, the number of cells of the group, and cell."""
+    sizes = groups.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(most_sets)), F.ceil(F.sum(8 * F.col("n")) / F.lit(most_bytes))).cast("long").alias("cells"))
+    return groups.join(sizes, "grp").withColumn("cell", F.pmod(F.xxhash64("rep"), F.col("cells")))
+
+
+def _links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int, most_sets: int, most_bytes: int) -> DataFrame:
+    """a, b: links that span what is alike within each group. groups: grp, rep, n.
+
+    Groups of one cell, nearly all, take one pass. Of larger ones the cells are joined, then one set of each component, as long as that unites any;
+    where a group still has several components, each pair of its cells is joined."""
+    cut = written(_cut_in_cells(groups, most_sets, most_bytes), "cells")
+
+    def joined(rows: DataFrame, *keys: str) -> DataFrame:
+        sets = _sets(docs, rows.select("rep").distinct(), shingle)
+        return written(_tree_links(rows.join(sets, "rep"), keys, percent), "links")
+
+    links = joined(cut.withColumn("component", F.col("rep")), "grp", "cell")
+    large = cut.where("cells > 1")
+    if large.isEmpty():
+        return links
+    large = written(large.select("grp", "rep", "n"), "large")
+    labels = written(components(links), "labels")
+    per_group = Window.partitionBy("grp")
+
+    def still_open() -> DataFrame:
+        """large with components, where a group has several."""
+        own = large.join(labels, large["rep"] == labels["node"], "left").select("grp", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        own = own.withColumn("lo", F.min("component").over(per_group)).withColumn("hi", F.max("component").over(per_group))
+        return written(own.where("lo != hi").drop("lo", "hi"), "open")
+
+    now, before = still_open(), None
+    while (count := now.select("grp", "component").distinct().count()) and (before is None or count < before):
+        heads = now.groupBy("grp", "component").agg(F.min_by(F.struct("rep", "n"), "rep").alias("r")).select("grp", "component", "r.*")
+        more = joined(_cut_in_cells(heads, most_sets, most_bytes), "grp", "cell")
+        links = written(links.unionByName(more), "links")
+        labels = written(components(links), "labels")
+        before, now = count, still_open()
+    if count:
+        of_cells = _cut_in_cells(now, most_sets, most_bytes)
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("other")
+        pairs = of_cells.select("grp", "rep", "component", "cell", others).select("grp", "rep", "component", F.least("cell", "other").alias("one"), F.greatest("cell", "other").alias("two"))
+        more = joined(pairs, "grp", "one", "two")
+        links = written(links.unionByName(more), "links")
+    return links
 
-    return _in_blocks(blocks, "rep", "n", "bits").mapInArrow(run, "sig long, rep long, n long")
 
+def similarity_join(docs: DataFrame, shingle: int = 5, percent: int = 80, most_sets: int = CELL_SETS, most_bytes: int = CELL_BYTES) -> DataFrame:
+    """doc_id, n_shingles, class_id (least doc_id with an equal set), component_id of every document.
 
-def _tree_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs that the trees of the blocks let through. blocks: sig, rep, n, component, bits."""
+    Null or empty text has no shingles, class_id and component_id are its own doc_id. Rows that repeat a doc_id are one document; if their texts differ, it
+    links by any of them. Rows with a null doc_id get the component of their class, null if the class has no other id. Components are exact: every pair that
+    is alike enough is linked by a path of verified pairs, of which only a spanning set is sought. Texts of any length are read whole. Other columns play
+    no part. An empty table has an empty result."""
+    with scratch():
+        return written(_joined(docs.select("doc_id", "text"), shingle, percent, most_sets, most_bytes), "joined", keep=True)
 
-    def run(batches):
-        seen: set[tuple[int, int]] = set()
-        out: list[tuple[int, int]] = []
-        for _, kept in _by_block(batches):
-            ids, sizes, comps, bits = zip(*kept)
-            tree = SignatureTree(np.array(ids), np.array(sizes), np.array(comps), np.stack([np.frombuffer(b, np.uint64) for b in bits]), percent)
-            for pair in tree.pairs():
-                if pair not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(pair)
-                    out.append(pair)
-                if len(out) >= BATCH_ROWS * 16:
-                    yield _pairs_batch(out)
-                    out = []
-        if out:
-            yield _pairs_batch(out)
-
-    return _in_blocks(blocks, "rep", "n", "component", "bits").mapInArrow(run, "a long, b long")
-
-
-def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs)
-    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def similarity_join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (to other classes, of those that were verified) of every document.
-
-    Null or empty text has no shingles, component_id is its own doc_id. Equal sets are one class, whose representative is the least doc_id; rows that repeat
-    a doc_id are one document. Rows with a null doc_id get the component of their class, null if the class has no other id. Components are exact: every
-    pair that is alike enough is linked by a path of verified pairs."""
-    scheme = Scheme(percent)
-
-    def describe(batch: pa.RecordBatch) -> dict:
-        found = [shingles(t, shingle) for t in texts(batch)]
-        return {"doc_id": batch.column(0), "n": list(map(len, found)), "d1": [_digest(h, _M1) for h in found], "d2": [_digest(h, _M2) for h in found], "bits": [bitmap(h).tobytes() for h in found]}
+
+def _joined(own: DataFrame, shingle: int, percent: int, most_sets: int, most_bytes: int) -> DataFrame:
+    def describe(batches):
+        counts, used = np.zeros(COUNTERS, np.uint32), False
+        for batch in batches:
+            found = list(all_shingles(texts(batch), shingle))
+            for h in found:
+                np.add.at(counts, _counter(h), np.uint32(1))
+                used = used or len(h) > 0
+            yield {"doc_id": batch.column(0), "n": list(map(len, found)), "d1": [_digest(h, _M1) for h in found], "d2": [_digest(h, _M2) for h in found], "bits": [bitmap(h).tobytes() if len(h) else None for h in found]}
+        if used:
+            parts, blobs = zip(*_packed_counts(counts))
+            yield {"chunk": list(parts), "counts": list(blobs)}
 
     seen: set[int] = set()  # digests that a task has emitted: of copies in a task, one is enough
+    described = written(per_task(own, describe, "doc_id long, n long, d1 long, d2 long, bits binary, chunk long, counts binary"), "described")
+    levels = _levels(described.where("chunk IS NOT NULL").select("chunk", "counts"))
+    described = described.where("chunk IS NULL").drop("chunk", "counts")
 
     def sign(batch: pa.RecordBatch) -> dict | None:
-        sigs, digests = [], []
-        for text in texts(batch):
-            h = shingles(text, shingle)
-            d = _digest(h, _M1)
+        tokens, keys = [], []
+        for h in all_shingles(texts(batch), shingle):
+            d = _digest(h, _M1) & -2
             if len(h) and d not in seen:
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 seen.add(d)
-                sigs.append(scheme.signatures(h))
-                digests.append(np.full(len(sigs[-1]), d))
-        return {"sig": pa.array(np.concatenate(sigs)), "d1": pa.array(np.concatenate(digests))} if sigs else None
+                first, n_low = prefix(h, levels, percent)
+                key = np.full(len(first), d)
+                key[:n_low] |= 1
+                tokens.append(first.view(np.int64))
+                keys.append(key)
+        return {"token": pa.array(np.concatenate(tokens)), "key": pa.array(np.concatenate(keys))} if tokens else None
 
-    own = docs.select("doc_id", "text")
-    described = written(in_batches(own, describe, "doc_id long, n long, d1 long, d2 long, bits binary"), "described")
     classes = written(described.where("n > 0").groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "n", "bits"), "doc_id").alias("c")).select("d1", "d2", F.col("c.doc_id").alias("rep"), "c.n", "c.bits"), "classes")
-    of_sig = Window.partitionBy("sig")
-
-    def shared(rows: DataFrame, column: str) -> DataFrame:
-        """Rows of the blocks that hold several values of the column, with the least and the largest of them."""
-        return rows.withColumn("lo", F.min(column).over(of_sig)).withColumn("hi", F.max(column).over(of_sig)).where("lo != hi")
-
-    # Signatures travel alone with a digest; nearly all of them are in no other set and end here.
-    alike = shared(in_batches(own, sign, "sig long, d1 long"), "d1").select("sig", "d1").distinct()
-    alike = alike.join(classes.where("rep IS NOT NULL").select("d1", "rep", "n", "bits"), "d1").select("sig", "rep", "n", "bits")
-    blocks = written(shared(_plausible(alike, percent), "rep").drop("hi"), "blocks")
-
-    def sets(batch: pa.RecordBatch) -> dict:
-        found = [shingles(t, shingle) for t in texts(batch)]
-        return {"rep": batch.column(0), "set": [x.view(np.int64) for x in found]}
-
-    members = written(blocks.select("rep").distinct(), "members")
-    member_texts = own.join(members, own["doc_id"] == members["rep"], "left_semi")
-    known = written(in_batches(member_texts, sets, "rep long, set array<long>"), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (known.select(F.col("rep").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-        met = pairs.distinct().join(a, "a").join(b, "b")
-        both = F.size(F.array_intersect("sa", "sb"))
-        return met.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+    known = classes.where("rep IS NOT NULL")
+    # Of a set's first shingles nearly all are in no other set and end here. The lowest bit of a key tells which the smaller set of a pair must share.
+    of_token = Window.partitionBy("token")
+    met = in_batches(own, sign, "token long, key long").select("token", F.col("key").bitwiseAND(-2).alias("class"), (F.col("key").bitwiseAND(1) == 1).alias("low"))
+    met = met.withColumn("lo", F.min("class").over(of_token)).withColumn("hi", F.max("class").over(of_token)).withColumn("any_low", F.max("low").over(of_token))
+    met = met.where("lo != hi AND any_low").select("token", "class", "low").distinct()
+    blocks = met.join(known.select(F.col("d1").bitwiseAND(-2).alias("class"), "rep", "n"), "class").select("token", "rep", "n", "low")
+    in_order = of_token.orderBy("n", "rep")
+    low_n = F.when(F.col("low"), F.col("n"))
+    smaller = F.when(F.col("low"), F.max(low_n).over(in_order.rowsBetween(Window.unboundedPreceding, -1))).otherwise(F.max(low_n).over(of_token.orderBy("n").rangeBetween(Window.unboundedPreceding, 0)))
+    blocks = blocks.withColumn("larger", F.when(F.col("low"), F.lead("n").over(in_order))).withColumn("smaller", smaller)
+    blocks = blocks.where((100 * F.col("n") >= percent * F.col("larger")) | (100 * F.col("smaller") >= percent * F.col("n")))
+    families = written(blocks.select(F.min("rep").over(of_token).alias("family"), "rep", "n").distinct(), "families")
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n_sets"), F.sum("n").alias("n_all"))
+    families = families.join(sizes, "family")
+    fits = (F.col("n_sets") <= most_sets) & (F.col("n_all") <= most_bytes)
+    small = families.where(fits).join(known.select("rep", "n", "bits"), ["rep", "n"]).select("family", "rep", "n", "bits")
+    groups = written(_plausible(small, percent).unionByName(families.where(~fits).select(F.col("family").alias("grp"), "rep")).distinct(), "groups")
+    groups = groups.join(known.groupBy("rep").agg(F.max("n").alias("n")), "rep").select("grp", "rep", "n")
+    links = _links(own, groups, shingle, percent, most_sets, most_bytes)
+    labels = components(links)
+    named = classes.select("d1", "d2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("component"))
+    named = written(named, "named")
+    joined = described.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
 
-    links = written(verified(blocks.where("rep != lo").groupBy("rep").agg(F.min("lo").alias("b")).withColumnRenamed("rep", "a")), "links")
-    labels = written(components(links), "labels")
+    def or_own(column: str) -> Column:
+        return F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col(column))
 
-    def open_blocks() -> DataFrame:
-        """Blocks that hold sets of several components."""
-        labelled = blocks.join(labels, blocks["rep"] == labels["node"], "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        return written(shared(labelled, "component"), "open")
-
-    for _ in range(STAR_ROUNDS):
-        still = open_blocks()
-        star = still.where("component != lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).where("a != b")
-        star = star.unionByName(still.where("component != hi").select(F.col("rep").alias("a"), F.col("hi").alias("b")).where("a != b"))
-        more = written(verified(star.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).select("a", F.explode(F.array("lo", "hi")).alias("b"))), "links")
-        if more.isEmpty():
-            break
-        links = written(links.unionByName(more), "links")
-        labels = written(components(links), "labels")
-    still = open_blocks()
-    still = still.join(classes.where("rep IS NOT NULL").select("rep", "bits"), "rep")
-    last = written(verified(_tree_pairs(still, percent)), "links")
-    if not last.isEmpty():
-        links = written(links.unionByName(last), "links")
-        labels = written(components(links), "labels")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.select("d1", "d2", "rep").join(labels, F.col("rep") == F.col("node"), "left").drop("node").join(degree, F.col("rep") == F.col("node"), "left")
-    named = written(named.select("d1", "d2", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    joined = described.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("n") == 0, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), or_own("rep").alias("class_id"), or_own("component").alias("component_id"))
 
 
 def op4_jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: sets of 3-word shingles, linked from a similarity of 0.9 on."""
-    return similarity_join(docs, shingle=3, percent=90).drop("n_links")
+    """doc_id, n_shingles, class_id, component_id: sets of 3-word shingles, linked from a similarity of 0.9 on."""
+    return similarity_join(docs, shingle=3, percent=90)

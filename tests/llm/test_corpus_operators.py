@@ -235,43 +235,90 @@ def test_join_matches_brute_force(spark, shingle, percent):
     assert got == brute_components(rows, shingle, percent)
 
 
-def test_signatures_lose_no_pair():
-    r = np.random.default_rng(3)
-    for percent in (80, 90):
-        scheme = jaccard_join.Scheme(percent)
-        for _ in range(1500):
-            n = int(r.integers(1, 150))
-            both = r.integers(0, 2**63, n).astype(np.uint64)
-            a = np.unique(np.concatenate((both, r.integers(0, 2**63, int(r.integers(0, n // 4 + 1))).astype(np.uint64))))
-            b = np.unique(np.concatenate((both, r.integers(0, 2**63, int(r.integers(0, n // 4 + 1))).astype(np.uint64))))
-            common = len(np.intersect1d(a, b))
-            if len(a) != len(b) or common != len(a):
-                alike = 100 * common >= percent * (len(a) + len(b) - common)
-                assert not alike or set(scheme.signatures(a).tolist()) & set(scheme.signatures(b).tolist()), (len(a), len(b), common)
-
-
-def test_signature_tree_loses_no_pair():
+def random_pairs(seed, n):
+    g = np.random.default_rng(seed)
+    fresh = lambda k: g.integers(0, 2**63, k).astype(np.uint64)
+    for _ in range(n):
+        size = int(g.integers(1, 150))
+        both = fresh(size)
+        yield tuple(np.unique(np.concatenate((both, fresh(int(g.integers(0, size // 4 + 1)))))) for _ in "ab")
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_blocks_lose_no_pair(percent, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COUNTERS", 1 << 10)
+    levels = np.random.default_rng(1).integers(0, 3, 1 << 10).astype(np.uint8)
+    n_alike = 0
+    for a, b in random_pairs(3, 1500):
+        a, b = sorted((a, b), key=len)
+        common = len(np.intersect1d(a, b))
+        alike = 100 * common >= percent * (len(a) + len(b) - common)
+        assert jaccard_join.alike(a, b, percent) == jaccard_join.alike(b, a, percent) == alike
+        if alike:
+            n_alike += 1
+            (low, n_low), (high, _) = (jaccard_join.prefix(x, levels, percent) for x in (a, b))
+            assert set(low[:n_low].tolist()) & set(high.tolist())
+    assert n_alike > 200
+
+
+def test_signature_tree_joins_all_that_is_alike():
     r = np.random.default_rng(4)
     sets = []
-    for _ in range(30):
-        base = r.integers(0, 2**63, int(r.integers(5, 120))).astype(np.uint64)
+    for _ in range(40):
+        base = r.integers(0, 2**63, int(r.choice((5, 60, 120, 700)))).astype(np.uint64)
         for _ in range(6):
             keep = base[r.random(len(base)) > r.choice((0.01, 0.05, 0.3))]
             sets.append(np.unique(np.concatenate((keep, r.integers(0, 2**63, 1).astype(np.uint64)))))
-    sizes = np.array([len(s) for s in sets])
-    bits = np.stack([jaccard_join.bitmap(s) for s in sets])
-    labels = np.arange(len(sets)) // 2
-    found = set(jaccard_join.SignatureTree(np.arange(len(sets)), sizes, labels, bits, 90).pairs())
+    alike = lambda i, j: jaccard_join.alike(sets[i], sets[j], 90)
+    tried = []
+    tree = jaccard_join.SignatureTree([len(x) for x in sets], [jaccard_join.bitmap(x) for x in sets], 90)
+    links = list(tree.join(lambda i, j: tried.append((i, j)) or alike(i, j)))
+    assert all(alike(i, j) for i, j in links) and len(tried) < len(sets) ** 2 / 20
     for i in range(len(sets)):
         for j in range(i):
-            common = len(np.intersect1d(sets[i], sets[j]))
-            if labels[i] != labels[j] and 100 * common >= 90 * (len(sets[i]) + len(sets[j]) - common):
-                assert (j, i) in found
-    assert len(found) < len(sets) ** 2 / 6
-    kept = jaccard_join.with_partner(bits, sizes, 90, step=7)
-    plausible = jaccard_join.may_link(bits, sizes, np.arange(len(sets)), np.arange(len(sets)), 90)
-    np.fill_diagonal(plausible, False)
-    assert (kept == plausible.any(axis=1)).all() and 0 < kept.sum()
+            assert not alike(i, j) or tree.find(i) == tree.find(j)
+    # Sets that are united beforehand are not tried again.
+    again = jaccard_join.SignatureTree([len(x) for x in sets], [jaccard_join.bitmap(x) for x in sets], 90, [tree.find(i) for i in range(len(sets))])
+    assert list(again.join(alike)) == []
+
+
+def test_bitmaps_fold_into_shorter_ones():
+    h = np.unique(np.random.default_rng(2).integers(0, 2**63, 900).astype(np.uint64))
+    bits = jaccard_join.bitmap(h)
+    assert len(bits) * 64 == 2048
+    some = jaccard_join.bitmap(h[:300])
+    assert not (some & ~jaccard_join._folded(bits, len(some))).any()
+    assert not (jaccard_join.bitmap(h[:500]) & ~bits[:16] & ~bits[16:]).any()
+
+
+@pytest.mark.parametrize("segment", [1, 7, 64, 1 << 20])
+def test_words_are_hashed_as_they_are_split(segment):
+    r = random.Random(segment)
+    by_word = {}
+    for _ in range(200):
+        text = "".join(r.choice("aAbB \n\t\x0b\u00e9\u6f22\x1c\x85") for _ in range(r.randint(0, 150)))
+        own = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        hashes = jaccard_join.word_hashes(text.encode(), segment).tolist()
+        assert len(own) == len(hashes) and all(by_word.setdefault(w, h) == h for w, h in zip(own, hashes))
+    assert len(set(by_word.values())) == len(by_word) > 100
+    texts = ["", "x " * 10, " ", "one", *("".join(r.choice("ab \n") for _ in range(r.randint(0, 40))) for _ in range(50))]
+    assert all((a == jaccard_join.shingles(t, 3)).all() for t, a in zip(texts, jaccard_join.all_shingles(texts, 3), strict=True))
+
+
+@pytest.mark.parametrize(("most_sets", "most_bytes"), [(4, 1 << 20), (100, 2000)])
+def test_join_of_groups_that_are_cut_in_cells(spark, most_sets, most_bytes):
+    """Groups beyond a cell: near copies of one text, a chain in which only neighbours are alike, and sets that share a passage only."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    base = [r.choice(words) for _ in range(60)]
+    texts = [" ".join(base[:i] + ["other%d" % i] + base[i + 1 :]) for i in range(60)]
+    chain = [r.choice(words) for _ in range(200)]
+    texts += [" ".join(chain[2 * i : 2 * i + 100]) for i in range(50)]
+    texts += [" ".join(base[:30] + [r.choice(words) for _ in range(40)]) for _ in range(40)]
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = jaccard_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, most_sets, most_bytes).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_components(rows, 5, 80)
 
 
 def test_join_odd_and_empty(odd, nothing):
