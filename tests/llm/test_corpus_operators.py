@@ -532,22 +532,42 @@ def brute_lines(rows):
     for d, text in rows:
         for line in (text or "").split("\n"):
             if len(key(line)) >= 40:
-                docs.setdefault(key(line), set()).add(d)
-    out = {}
+                docs.setdefault(key(line), set()).add(-1 if d is None else d)
+    out = []
     for d, text in rows:
         own = (text or "").split("\n")
-        kept = [x for x in own if len(docs.get(key(x), ())) < 5 or max(docs[key(x)]) == d]
-        out[d] = (len(own), len(own) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
-    return out
+        kept = [x for x in own if len(docs.get(key(x), ())) < 5 or max(docs[key(x)]) == (-1 if d is None else d)]
+        out.append((-1 if d is None else d, len(own), len(own) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out)
 
 
-def test_lines_match_brute_force(spark):
+def line_rows():
+    """Shared lines in several spellings; rows that are repeated, ids with several texts, rows without an id."""
     r = random.Random(4)
     pool = ["A long line that many documents share, number %d." % i for i in range(12)] + ["short"] + ["é" * 40, "É" * 40, "x" * 39, "", "  "]
-    rows = [(i * 3, "\n".join(r.choice(("", " ", "\t")) + (x.upper() if r.random() < 0.2 else x) + r.choice(("", "\r", " ")) for x in r.choices(pool, k=r.randint(0, 8)))) for i in range(80)] + [(1, None), (2, "")]
+    text = lambda: "\n".join(r.choice(("", " ", "\t")) + (x.upper() if r.random() < 0.2 else x) + r.choice(("", "\r", " ")) for x in r.choices(pool, k=r.randint(0, 8)))
+    rows = [(i * 3, text()) for i in range(80)] + [(1, None), (2, "")]
+    alone = "This line is in four documents only, however often they come."
+    rows += [(d, alone) for d in (300, 301, 302, 303) for _ in range(4)] + [(304, text()), (304, text())]
+    five = "This line is in four documents and in some without an id at all."
+    return rows + [(d, five) for d in (310, 311, 312, 313)] + [(None, five), (None, f"{five}\nmore"), (None, None)]
+
+
+def test_lines_match_brute_force(spark):
+    rows = line_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x.doc_id: (x.n_lines, x.n_dropped, x.kept_sha256) for x in line_dedup.op9_line_dedup(docs).collect()}
-    assert got == brute_lines(rows)
+    got = line_dedup.op9_line_dedup(docs).collect()
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_lines, x.n_dropped, x.kept_sha256) for x in got) == brute_lines(rows)
+
+
+def test_line_sql_matches_brute_force():
+    import duckdb
+    import pandas as pd
+
+    rows = line_rows()
+    documents = pd.DataFrame({"doc_id": pd.array([d for d, _ in rows], "Int64"), "text": [t for _, t in rows]})  # noqa: F841
+    got = duckdb.sql(line_dedup.SQL).fetchall()
+    assert sorted((-1 if d is None else d, *rest) for d, *rest in got) == brute_lines(rows)
 
 
 def test_runs_compact_and_find_what_is_new(spark):
@@ -559,13 +579,24 @@ def test_runs_compact_and_find_what_is_new(spark):
         assert new.count() == (10 if b == 0 else 5)
         runs.add(batch)
     assert sorted(level for level, _ in runs.runs) == [0, 1, 1]
+    assert sum(runs._run(name).count() for _, name in runs.runs) == 40  # a hash is in one run only
     merged = runs.merged()
     assert merged.count() == 40 and merged.agg({"n_docs": "sum"}).first()[0] == 70
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = runs.unseen(spark.createDataFrame([(1, line(1))], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1  # the batch moves, the runs do not
+    runs.drop()
 
 
 def test_lines_odd_and_empty(odd, nothing):
     out = line_dedup.drop_repeated_lines(odd)
     assert out.columns == [*odd.columns, "n_lines", "kept_lines"] and out.count() == odd.count()
+    clash = odd.withColumn("n_lines", odd.text).withColumn("h2", odd.text).withColumn("is_new", odd.text)
+    out = line_dedup.drop_repeated_lines(clash)
+    assert out.columns == [*odd.columns, "h2", "is_new", "n_lines", "kept_lines"] and out.count() == odd.count()
     assert line_dedup.op9_line_dedup(nothing).collect() == []
 
 
