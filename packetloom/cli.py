@@ -241,7 +241,7 @@ COMMANDS["probe-mqtt-features-fit"] = _probe(MQTT_FEATURES, features.mqtt_featur
 @command("probe-arp-stateful-fit")
 def probe_stateful(spark, a) -> Tables:
     own = stats.arp_capture_stats(_packets(spark, a)).join(F.broadcast(_inventory(spark, a).select("pcap_id", S.bucket_features().alias("group"))), "pcap_id")
-    return {"by_pcap": own.drop("packet_distances", "time_distances"), "by_group": stats.arp_group_rollup(own, "group")}
+    return {"by_pcap": own, "by_group": stats.arp_group_rollup(own, stats.arp_distances(_packets(spark, a)), "group")}
 
 
 @command("evaluate-pcap-aggregation")

@@ -67,9 +67,18 @@ def ranking(scores: DataFrame, *groups: str) -> DataFrame:
 
 
 def at_thresholds(scores: DataFrame, thresholds: list[float], *groups: str) -> DataFrame:
-    """Confusion at each threshold: one scan, conditional sums over the crossed rows."""
-    table = F.broadcast(scores.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double"))
-    return with_metrics(scores.crossJoin(table).groupBy("threshold", *groups).agg(*confusion_columns(F.col("score").cast("double") >= F.col("threshold"))))
+    """Confusion at each threshold: one scan counts rows by how many thresholds they reach, and only these counts, as many as there are thresholds and one,
+    are crossed with the thresholds. Rows without a score count nowhere."""
+    levels = sorted({float(t) for t in thresholds})
+    table = F.broadcast(scores.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(levels)], "place int, threshold double"))
+    v = F.col("score").cast("double")
+    reached = sum(((v >= t).cast("int") for t in levels), F.lit(0))
+    counts = scores.groupBy(*groups, reached.alias("reached")).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
+    positive = F.coalesce(F.col("reached") >= F.col("place"), F.lit(False))
+    negative = F.coalesce(F.col("reached") < F.col("place"), F.lit(False))
+    total = lambda c, where: F.sum(F.when(where, F.col(c)).otherwise(0))
+    out = counts.crossJoin(table).groupBy("threshold", *groups)
+    return with_metrics(out.agg(total("pos", positive).alias("tp"), total("neg", positive).alias("fp"), total("neg", negative).alias("tn"), total("pos", negative).alias("fn")))
 
 
 def threshold_for_fpr(scores: DataFrame, targets: list[float] | tuple[float, ...] = FPR_TARGETS) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import STATUSES
-from .windows import WindowPolicy, in_order, is_cut, with_delta, with_segments
+from .windows import WindowPolicy, in_order, upto, with_delta
 
 PROTOCOLS = ("ipv4", "ipv6", "arp", "llc", "tcp", "udp", "icmp", "icmpv6", "igmp")
 #: Distinct addresses that a characterization reports, at most.
@@ -65,18 +67,20 @@ def characterization(packets: DataFrame, ip_cap: int = IP_CAP, port_cap: int = P
 
 
 def timestamp_probe(packets: DataFrame) -> DataFrame:
-    """Positive, equal and negative deltas of each capture, magnitudes of the negative ones, and their runs."""
+    """Positive, equal and negative deltas of each capture, magnitudes of the negative ones, and their runs: one sort of the capture serves all."""
     d = F.col("delta")
     back = F.when(d < 0, -d)
-    own = with_delta(packets.select("pcap_id", "packet_index", "timestamp"))
+    own = with_delta(packets.select("pcap_id", "packet_index", "timestamp")).withColumn("n", F.row_number().over(in_order()).cast("bigint"))
+    forth = F.when(~F.coalesce(d < 0, F.lit(False)), F.col("n"))
+    own = own.withColumn("run", F.col("n") - F.max(forth).over(upto()))  # place in a run of reversals, 0 outside
     by = own.groupBy("pcap_id").agg(
         F.count(F.lit(1)).alias("packet_count"), F.count_if(d > 0).alias("positive_count"), F.count_if(d == 0).alias("duplicate_count"), F.count_if(d < 0).alias("negative_count"),
         S.ratio(F.count_if(d < 0), F.count("delta")).alias("negative_ratio"), S.ratio(F.count_if(d == 0), F.count("delta")).alias("duplicate_ratio"),
         F.min(back).alias("reversal_min"), F.max(back).alias("reversal_max"), F.avg(back).alias("reversal_mean"), F.percentile(back, F.array(*map(F.lit, (0.5, 0.95, 0.99)))).alias("_p"),
+        F.count_if(F.col("run") == 1).alias("run_count"), F.max("run").alias("run_max"),
     )
     by = by.select("*", *[F.get("_p", i).alias(f"reversal_p{p}") for i, p in enumerate((50, 95, 99))]).drop("_p")
-    runs = reversal_runs(packets).groupBy("pcap_id").agg(F.count(F.lit(1)).alias("run_count"), F.max("run_length").alias("run_max"), F.avg("run_length").alias("run_mean"))
-    return by.join(runs, "pcap_id", "left").fillna(0, ["run_count", "run_max"])
+    return by.withColumn("run_mean", S.ratio(F.col("negative_count"), F.col("run_count")))
 
 
 def reversal_runs(packets: DataFrame) -> DataFrame:
@@ -99,21 +103,31 @@ def largest_reversals(packets: DataFrame, n: int = EXAMPLES) -> DataFrame:
 
 
 def windowing_grid(packets: DataFrame, policies: list[WindowPolicy]) -> DataFrame:
-    """Cuts by cause, segments, full windows, retention and spans of each capture under each policy: one scan, one shuffle."""
-    spark = packets.sparkSession
-    table = F.broadcast(spark.createDataFrame([(p.id, p.window_size, float(p.inactivity_s), float(p.backward_s)) for p in policies], "policy string, size int, gap double, back double"))
-    d, key = F.col("delta"), ["pcap_id", "policy"]
-    rows = with_delta(packets.select("pcap_id", "packet_index", "timestamp")).crossJoin(table)
-    order = Window.partitionBy(*key).orderBy("packet_index")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("late", F.coalesce(d > F.col("gap"), F.lit(False))).withColumn("early", F.coalesce(d < -F.col("back"), F.lit(False)))
-    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("segment", F.sum((F.col("late") | F.col("early")).cast("int")).over(run))
-    rows = rows.withColumn("position", F.col("n") - F.max(F.when(F.col("late") | F.col("early") | (F.col("n") == 1), F.col("n"))).over(run))
-    windows = rows.groupBy(*key, "size", "segment", F.expr("position DIV size").alias("w")).agg(F.count(F.lit(1)).alias("k"), F.max("timestamp").alias("hi"), F.min("timestamp").alias("lo"), F.count_if("late").alias("late"), F.count_if("early").alias("early"))
+    """Cuts by cause, segments, full windows, retention and spans of each capture under each policy: one scan, one shuffle, one sort.
+
+    Policies with the same bounds cut alike. For each pair of bounds the rows are summed in windows of the largest size that divides those of its policies,
+    and these windows, not the rows, are put together to the windows of each policy."""
+    bounds = sorted({(float(p.inactivity_s), float(p.backward_s)) for p in policies})
+    base = {b: math.gcd(*(p.window_size for p in policies if (float(p.inactivity_s), float(p.backward_s)) == b)) for b in bounds}
+    d = F.col("delta")
+    rows = with_delta(packets.select("pcap_id", "packet_index", "timestamp")).withColumn("n", F.row_number().over(in_order()).cast("bigint"))
+    is_late = [F.coalesce(d > gap, F.lit(False)) for gap, _ in bounds]
+    is_early = [F.coalesce(d < -back, F.lit(False)) for _, back in bounds]
+    rows = rows.withColumns({f"late{i}": x for i, x in enumerate(is_late)} | {f"early{i}": x for i, x in enumerate(is_early)})
+    cuts = [F.col(f"late{i}") | F.col(f"early{i}") for i in range(len(bounds))]
+    rows = rows.withColumns({f"segment{i}": F.sum(c.cast("bigint")).over(upto()) for i, c in enumerate(cuts)} | {f"start{i}": F.max(F.when(c | (F.col("n") == 1), F.col("n"))).over(upto()) for i, c in enumerate(cuts)})
+    of_bounds = F.array(*[F.struct(F.lit(i).alias("b"), F.col(f"segment{i}").alias("segment"), F.floor((F.col("n") - F.col(f"start{i}")) / base[x]).alias("w"), F.col(f"late{i}").alias("late"), F.col(f"early{i}").alias("early")) for i, x in enumerate(bounds)])
+    small = rows.select("pcap_id", "timestamp", F.inline(of_bounds)).groupBy("pcap_id", "b", "segment", "w")
+    small = small.agg(F.count(F.lit(1)).alias("k"), F.max("timestamp").alias("hi"), F.min("timestamp").alias("lo"), F.count_if("late").alias("late"), F.count_if("early").alias("early"))
+    table = [(bounds.index((float(p.inactivity_s), float(p.backward_s))), p) for p in policies]
+    own = F.array(*[F.struct(F.lit(i).alias("of"), F.lit(p.id).alias("policy"), F.lit(p.window_size).alias("size"), F.lit(p.window_size // base[bounds[i]]).alias("step")) for i, p in table])
+    key = ["pcap_id", "policy", "size"]
+    windows = small.select("*", F.inline(F.filter(own, lambda x: x["of"] == F.col("b")))).groupBy(*key, "segment", F.floor(F.col("w") / F.col("step")).alias("w"))
+    windows = windows.agg(F.sum("k").alias("k"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.sum("late").alias("late"), F.sum("early").alias("early"))
     full = F.col("k") == F.col("size")
     span = F.when(full, F.col("hi") - F.col("lo"))
-    out = windows.groupBy(*key, "size").agg(
-        F.sum("k").alias("packets"), F.sum("late").alias("positive_gap_cuts"), F.sum("early").alias("backward_cuts"), F.count_distinct("segment").alias("segments"), F.count_if(full).alias("full_windows"),
+    out = windows.groupBy(*key).agg(
+        F.sum("k").alias("packets"), F.sum("late").alias("positive_gap_cuts"), F.sum("early").alias("backward_cuts"), F.count_if(F.col("w") == 0).alias("segments"), F.count_if(full).alias("full_windows"),
         F.coalesce(F.sum(F.when(~full, F.col("k"))), F.lit(0)).alias("dropped_packets"), F.count_if(span == 0).alias("zero_span_windows"), F.avg(span).alias("span_mean"), F.percentile(span, 0.5).alias("span_p50"), F.percentile(span, 0.95).alias("span_p95"),
     )
     return out.withColumn("retention", S.ratio(F.col("full_windows") * F.col("size"), F.col("packets"))).drop("size")
@@ -146,15 +160,36 @@ def feature_summary(table: DataFrame, features: tuple[str, ...]) -> DataFrame:
 QUANTILES = (0.01, 0.5, 0.95, 0.99, 0.999)
 
 
+def exact_quantiles(rows: DataFrame, keys: list[str], quantiles: tuple[float, ...]) -> DataFrame:
+    """keys, _p: linear quantiles of column value (not null) by keys. Values are counted, cut in ranges and summed along them, so that not even a key that
+    holds all rows meets in one task."""
+    counts = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    ranged = counts.repartitionByRange(*keys, "value").withColumn("_part", F.spark_partition_id())
+    parts = ranged.groupBy("_part", *keys).agg(F.sum("n").alias("_n"))
+    along = Window.partitionBy(*keys).orderBy("_part")
+    parts = parts.select("_part", *keys, F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
+    within = Window.partitionBy("_part", *keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("_upto", F.sum("n").over(within)).join(parts, ["_part", *keys]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("n") <= place) & (place < F.col("_upto")), F.col("value")))
+
+    places = [F.lit(q) * (F.col("_total") - 1) for q in quantiles]
+    out = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *[at(F.floor(x)).alias(f"_lo{i}") for i, x in enumerate(places)], *[at(F.ceil(x)).alias(f"_hi{i}") for i, x in enumerate(places)])
+    return out.select(*keys, F.array(*[F.col(f"_lo{i}") + (x - F.floor(x)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i, x in enumerate(places)]).alias("_p"))
+
+
 def group_characterization(table: DataFrame, features: tuple[str, ...], exact: bool = True) -> DataFrame:
     """Statistics by (group, feature) for all rows, the primary group, the family and the type: columns primary_group, attack_family, attack_type."""
     named = lambda prefix, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(prefix), F.col(c)))
     groups = F.array_compact(F.array_distinct(F.array(F.lit("all_train"), F.col("primary_group"), named("attack_family_", "attack_family"), named("attack_type_", "attack_type"))))
     rows = melted(table.withColumn("group", F.explode(groups)), features, ["group"])
     v = F.when(finite(F.col("value")), F.col("value"))
-    array = F.array(*map(F.lit, QUANTILES))
-    p = F.percentile(v, array) if exact else F.percentile_approx(v, array, 10_000)
-    out = rows.groupBy("group", "feature").agg(F.count(v).alias("count"), F.count_if(v == 0).alias("zero_count"), F.count_if(v != 0).alias("nonzero_count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), p.alias("_p"))
+    sums = [F.count(v).alias("count"), F.count_if(v == 0).alias("zero_count"), F.count_if(v != 0).alias("nonzero_count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")]
+    if exact:
+        out = rows.groupBy("group", "feature").agg(*sums).join(exact_quantiles(rows.where(finite(F.col("value"))), ["group", "feature"], QUANTILES), ["group", "feature"], "left")
+    else:
+        out = rows.groupBy("group", "feature").agg(*sums, F.percentile_approx(v, F.array(*map(F.lit, QUANTILES)), 10_000).alias("_p"))
     out = out.select("*", *[F.get("_p", i).alias(n) for i, n in enumerate(("p01", "p50", "p95", "p99", "p999"))]).drop("_p")
     return out.withColumn("is_constant", F.coalesce(F.col("min") == F.col("max"), F.lit(False))).withColumn("group_kind", S.group_kind(F.col("group"))).withColumn("method", F.lit("exact" if exact else "approximate"))
 
@@ -200,40 +235,45 @@ def beside_arp_ratio(table: DataFrame, features: tuple[str, ...], group: str) ->
     return probe_summary(table, features, group).join(ratio, group)
 
 
-def arp_capture_stats(packets: DataFrame) -> DataFrame:
-    """Sender conflicts over a whole capture. Senders are first summed by (capture, sender)."""
+def _arp_senders(packets: DataFrame) -> DataFrame:
+    """One row for each (capture, sender address spa): observations n, hardware addresses macs, moves, and the distances to the first conflict."""
     own = packets.where(S.is_arp_identity()).select("pcap_id", F.col("src_ip").alias("spa"), F.col("arp_sha").alias("sha"), "packet_index", "timestamp")
     order = Window.partitionBy("pcap_id", "spa").orderBy("packet_index")
     first = F.first("sha").over(order.rowsBetween(Window.unboundedPreceding, 0))
     own = own.withColumn("moved", F.coalesce(F.col("sha") != F.lag("sha").over(order), F.lit(False))).withColumn("other", F.col("sha") != first)
-    by = own.groupBy("pcap_id", "spa").agg(
-        F.count(F.lit(1)).alias("n"), F.collect_set("sha").alias("shas"), F.count_if("moved").alias("moves"),
-        (F.min(F.when(F.col("other"), F.col("packet_index"))) - F.min("packet_index")).cast("double").alias("packets_to"),
-        (F.min_by("timestamp", F.when(F.col("other"), F.col("packet_index"))) - F.min_by("timestamp", "packet_index")).alias("seconds_to"),
-    )
-    macs = F.size("shas")
-    stats = by.groupBy("pcap_id").agg(
-        F.sum("n").alias("valid_identity_obs"), F.count(F.lit(1)).alias("unique_sender_ip_count"), F.size(F.array_distinct(F.flatten(F.collect_list("shas")))).cast("bigint").alias("unique_sender_mac_count"),
+    # Summed by hardware address first, so that a sender with a flood of them is counted and never collected.
+    by = own.groupBy("pcap_id", "spa", "sha").agg(F.count(F.lit(1)).alias("n"), F.count_if("moved").alias("moves"), F.min(F.struct("packet_index", "timestamp")).alias("f"), F.min(F.when(F.col("other"), F.struct("packet_index", "timestamp"))).alias("o"))
+    by = by.groupBy("pcap_id", "spa").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("macs"), F.sum("moves").alias("moves"), F.min("f").alias("f"), F.min("o").alias("o"))
+    return by.select("pcap_id", "spa", "n", "macs", "moves", (F.col("o.packet_index") - F.col("f.packet_index")).cast("double").alias("packets_to"), (F.col("o.timestamp") - F.col("f.timestamp")).alias("seconds_to"))
+
+
+def arp_capture_stats(packets: DataFrame) -> DataFrame:
+    """Sender conflicts over a whole capture. Senders are first summed by (capture, sender)."""
+    macs = F.col("macs")
+    stats = _arp_senders(packets).groupBy("pcap_id").agg(
+        F.sum("n").alias("valid_identity_obs"), F.count(F.lit(1)).alias("unique_sender_ip_count"),
         F.count_if(macs > 1).alias("conflict_ip_count"), F.coalesce(F.sum(F.when(macs > 1, F.col("n"))), F.lit(0)).alias("conflict_obs_count"), F.sum(macs - 1).cast("bigint").alias("novel_mac_claim_count"),
         F.sum("moves").alias("mapping_transition_count"), F.count("packets_to").alias("first_conflict_event_count"), F.max(macs).cast("bigint").alias("max_macs_per_sender_ip"),
-        F.collect_list("packets_to").alias("packet_distances"), F.collect_list("seconds_to").alias("time_distances"),
     )
+    addresses = packets.where(S.is_arp_identity()).select("pcap_id", "arp_sha").distinct().groupBy("pcap_id").agg(F.count(F.lit(1)).alias("unique_sender_mac_count"))
     counts = packets.groupBy("pcap_id").agg(F.count(F.lit(1)).alias("packet_count"), F.count_if("is_arp").alias("arp_packet_count"))
-    out = counts.join(stats, "pcap_id", "left").fillna(0).withColumn("conflict_obs_ratio", S.ratio0(F.col("conflict_obs_count"), F.col("valid_identity_obs")))
-    return out
+    out = counts.join(stats, "pcap_id", "left").join(addresses, "pcap_id", "left").fillna(0)
+    return out.withColumn("conflict_obs_ratio", S.ratio0(F.col("conflict_obs_count"), F.col("valid_identity_obs")))
+
 
+def arp_distances(packets: DataFrame) -> DataFrame:
+    """pcap_id, spa, packets_to, seconds_to of each sender with a conflict: from its first packet to the first with another address."""
+    return _arp_senders(packets).where("packets_to IS NOT NULL").select("pcap_id", "spa", "packets_to", "seconds_to")
 
-def arp_group_rollup(captures: DataFrame, group: str) -> DataFrame:
-    """Sums over the captures of a group; distances are pooled before their percentiles are taken."""
+
+def arp_group_rollup(captures: DataFrame, distances: DataFrame, group: str) -> DataFrame:
+    """Sums over the captures of a group; distances (arp_distances) are pooled before their percentiles are taken."""
     sums = ["packet_count", "arp_packet_count", "valid_identity_obs", "unique_sender_ip_count", "conflict_ip_count", "conflict_obs_count", "novel_mac_claim_count", "mapping_transition_count", "first_conflict_event_count"]
     by = captures.groupBy(group).agg(F.count(F.lit(1)).alias("pcap_count"), *[F.sum(c).alias(c) for c in sums], F.max("max_macs_per_sender_ip").alias("max_macs_per_sender_ip"), S.ratio0(F.sum("conflict_obs_count"), F.sum("valid_identity_obs")).alias("conflict_obs_ratio"))
-    for name in ("packet_distances", "time_distances"):
-        pooled = captures.select(group, F.explode_outer(name).alias("v"))
-        prefix = f"conflict_{name[:-1]}_"
-        zero = lambda c: F.coalesce(c, F.lit(0.0))
-        stats = pooled.groupBy(group).agg(F.count("v").alias(f"{prefix}count"), *[zero(f).alias(f"{prefix}{k}") for k, f in (("mean", F.avg("v")), ("p50", F.percentile("v", 0.5)), ("p95", F.percentile("v", 0.95)), ("min", F.min("v")), ("max", F.max("v")))])
-        by = by.join(stats, group)
-    return by
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    pooled = captures.select("pcap_id", group).join(distances, "pcap_id", "left")
+    stats = [x for v, prefix in (("packets_to", "conflict_packet_distance_"), ("seconds_to", "conflict_time_distance_")) for x in (F.count(v).alias(f"{prefix}count"), *[zero(f).alias(f"{prefix}{k}") for k, f in (("mean", F.avg(v)), ("p50", F.percentile(v, 0.5)), ("p95", F.percentile(v, 0.95)), ("min", F.min(v)), ("max", F.max(v)))])]
+    return by.join(pooled.groupBy(group).agg(*stats), group)
 
 
 def audit_totals(integrity_rows: DataFrame) -> DataFrame:

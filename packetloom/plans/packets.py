@@ -122,8 +122,8 @@ QUERIES = {
     "largest_n_reversals": (lambda s, d: rounded(stats.largest_reversals(V.lineitem_packets(s, d))), f"{L}, {V.DELTA_SQL}, z AS (SELECT pcap_id, packet_index, round(delta, 6) AS delta, row_number() OVER (PARTITION BY pcap_id ORDER BY delta, packet_index)::INT AS rank FROM d WHERE delta < 0) SELECT * FROM z WHERE rank <= 10"),
     "windowing_policy_grid": (lambda s, d: rounded(grid(s, d)), GRID_SQL),
     "windowing_rollup": (lambda s, d: rounded(stats.windowing_rollup(grid(s, d).withColumn("bucket", F.expr("cast(cast(pcap_id as int) % 3 as string)")), "bucket")), GRID_SQL.replace("SELECT pcap_id, policy, sum(k)", ", gg AS (SELECT pcap_id, policy, sum(k)").replace(_r("avg(CASE WHEN k = size THEN span END)", "span_mean"), "avg(CASE WHEN k = size THEN span END) AS span_mean").replace(_r("quantile_cont(CASE WHEN k = size THEN span END, 0.5)", "span_p50"), "quantile_cont(CASE WHEN k = size THEN span END, 0.5) AS span_p50").replace(_r("quantile_cont(CASE WHEN k = size THEN span END, 0.95)", "span_p95"), "quantile_cont(CASE WHEN k = size THEN span END, 0.95) AS span_p95") + f") SELECT policy, (pcap_id::INT % 3)::VARCHAR AS bucket, count(*) AS captures, sum(packets)::BIGINT AS packets, sum(full_windows)::BIGINT AS full_windows, {_r('sum(packets - dropped_packets) / sum(packets)', 'retention')}, {_r('sum(dropped_packets) / sum(packets)', 'tail_loss')}, {_r('sum(zero_span_windows) / nullif(sum(full_windows), 0)', 'zero_span_ratio')}, {_r('avg(span_p50)', 'span_p50_mean')}, {_r('avg(span_p95)', 'span_p95_mean')} FROM gg GROUP BY ALL"),
-    "arp_capture_stats": (lambda s, d: rounded(arp_capture(s, d).drop("packet_distances", "time_distances")), ARP_CAPTURE_SQL),
-    "arp_group_rollup": (lambda s, d: rounded(stats.arp_group_rollup(arp_capture(s, d).withColumn("grp", F.expr("cast(cast(pcap_id as int) % 4 as string)")), "grp").select("grp", "pcap_count", "conflict_obs_count", "mapping_transition_count", "conflict_packet_distance_count", "conflict_packet_distance_mean", "conflict_packet_distance_p50", "conflict_packet_distance_p95", "conflict_time_distance_max")), f"{E}, {_ARP.format(src='p')}, {_ARP_BY}, u AS (SELECT DISTINCT pcap_id FROM p) SELECT (pcap_id::INT % 4)::VARCHAR AS grp, count(DISTINCT pcap_id) AS pcap_count, sum(CASE WHEN macs > 1 THEN n ELSE 0 END)::BIGINT AS conflict_obs_count, coalesce(sum(moves), 0)::BIGINT AS mapping_transition_count, count(packets_to) AS conflict_packet_distance_count, {_r('coalesce(avg(packets_to), 0)', 'conflict_packet_distance_mean')}, {_r('coalesce(quantile_cont(packets_to::DOUBLE, 0.5), 0)', 'conflict_packet_distance_p50')}, {_r('coalesce(quantile_cont(packets_to::DOUBLE, 0.95), 0)', 'conflict_packet_distance_p95')}, {_r('coalesce(max(seconds_to), 0)', 'conflict_time_distance_max')} FROM u LEFT JOIN q USING (pcap_id) GROUP BY ALL"),
+    "arp_capture_stats": (lambda s, d: rounded(arp_capture(s, d)), ARP_CAPTURE_SQL),
+    "arp_group_rollup": (lambda s, d: rounded(stats.arp_group_rollup(arp_capture(s, d).withColumn("grp", F.expr("cast(cast(pcap_id as int) % 4 as string)")), stats.arp_distances(V.event_packets(s, d)), "grp").select("grp", "pcap_count", "conflict_obs_count", "mapping_transition_count", "conflict_packet_distance_count", "conflict_packet_distance_mean", "conflict_packet_distance_p50", "conflict_packet_distance_p95", "conflict_time_distance_max")), f"{E}, {_ARP.format(src='p')}, {_ARP_BY}, u AS (SELECT DISTINCT pcap_id FROM p) SELECT (pcap_id::INT % 4)::VARCHAR AS grp, count(DISTINCT pcap_id) AS pcap_count, sum(CASE WHEN macs > 1 THEN n ELSE 0 END)::BIGINT AS conflict_obs_count, coalesce(sum(moves), 0)::BIGINT AS mapping_transition_count, count(packets_to) AS conflict_packet_distance_count, {_r('coalesce(avg(packets_to), 0)', 'conflict_packet_distance_mean')}, {_r('coalesce(quantile_cont(packets_to::DOUBLE, 0.5), 0)', 'conflict_packet_distance_p50')}, {_r('coalesce(quantile_cont(packets_to::DOUBLE, 0.95), 0)', 'conflict_packet_distance_p95')}, {_r('coalesce(max(seconds_to), 0)', 'conflict_time_distance_max')} FROM u LEFT JOIN q USING (pcap_id) GROUP BY ALL"),
     "l3_category": (lambda s, d: V.event_packets(s, d).groupBy(S.l3_category().alias("l3")).agg(F.count(F.lit(1)).alias("n")), f"{E} SELECT CASE WHEN is_ipv4 THEN 'ipv4' WHEN is_ipv6 THEN 'ipv6' WHEN is_arp THEN 'arp' WHEN is_llc THEN 'llc' ELSE 'other' END AS l3, count(*) AS n FROM p GROUP BY ALL"),
     "tcp_flags": (lambda s, d: V.event_packets(s, d).where("is_tcp").agg(*[F.count_if(S.tcp_flag(f)).alias(f) for f in S.TCP_FLAGS]), f"{E} SELECT " + ", ".join(f"count_if(tcp_flag_{f}) AS {f}" for f in S.TCP_FLAGS) + " FROM p WHERE is_tcp"),
     "port_gate": (lambda s, d: V.event_packets(s, d).where(F.col("is_tcp") & S.is_mqtt_port()).groupBy("pcap_id").agg(F.count(F.lit(1)).alias("n")), f"{E} SELECT pcap_id, count(*) AS n FROM p WHERE is_tcp AND coalesce(src_port = 1883 OR dst_port = 1883, false) GROUP BY pcap_id"),
