@@ -242,3 +242,55 @@ def is_attack(threshold: float) -> Column:
 
 def policy_id(k: int, r: float) -> str:
     return f"K{k}_R{r:g}"
+
+
+def checkpoint_id(path: Column) -> Column:
+    return F.sha2(path.cast("binary"), 256)
+
+
+def packed_ip(text: Column) -> Column:
+    """An address as 4 or 16 bytes, so that equal ones in two spellings are equal; anything else as its UTF-8 bytes."""
+    octets = F.split(text, r"\.")
+    v4 = F.unhex(F.array_join(F.transform(octets, lambda x: F.lpad(F.hex(x.cast("int")), 2, "0")), ""))
+    sides = F.split(F.lower(text), "::")
+    groups = lambda side: F.filter(F.split(side, ":"), lambda x: x != "")
+    left, right = groups(F.get(sides, F.lit(0))), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
+    v6 = F.unhex(F.array_join(F.transform(F.concat(left, zeros, right), lambda x: F.lpad(x, 4, "0")), ""))
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    is_v4 = text.rlike(rf"^{octet}(\.{octet}){{3}}$")
+    is_v6 = text.rlike("^[0-9A-Fa-f:]{2,39}$") & text.contains(":") & (F.size(sides) <= 2) & (F.octet_length(v6) == 16) & ((F.size(sides) == 2) | (F.size(left) == 8))
+    return F.when(is_v4, v4).when(F.coalesce(is_v6, F.lit(False)), v6).otherwise(text.cast("binary"))
+
+
+def test_category(path: Column) -> Column:
+    """Benign category of a capture of the test split from its path; one that fits none fails."""
+    parts = F.transform(F.split(path, "/"), F.lower)
+    has = lambda *names: F.arrays_overlap(parts, F.array(*map(F.lit, names)))
+    missing = F.raise_error(F.concat(F.lit("no benign category: "), path)).cast("string")
+    return cases((F.lower(stem(path)).startswith("benign"), "publisher"), (has("power"), "profiling_power"), (has("idle"), "profiling_idle"), (has("interactions", "interaction"), "profiling_interaction"), otherwise=missing)
+
+
+def _text(column: str) -> Column:
+    return F.trim(F.coalesce(F.col(column), F.lit("")))
+
+
+def arp_probe_group() -> Column:
+    """Group of a capture in the ARP probe: of fitting captures only, null where it is in none. Reads benign_category and group_kind."""
+    category, kind = _text("benign_category"), _text("group_kind")
+    benign = _text("binary_label") == "BENIGN"
+    own = cases(((_text("attack_family") == "Spoofing") | (kind == "spoofing"), "spoofing"), (benign & ((category == "publisher_benign") | (kind == "publisher_benign")), "publisher_benign"), (benign & (category.startswith("profiling_") | kind.startswith("profiling_")), "profiling_benign"))
+    return F.when(F.col("modeling_split") == "fit", own)
+
+
+def mqtt_probe_group(has_mqtt: Column) -> Column:
+    """Group of a capture in the MQTT probe: malformed data, or benign captures that hold MQTT; of fitting captures only, null where it is in none."""
+    category, kind = _text("benign_category"), _text("group_kind")
+    benign = (_text("binary_label") == "BENIGN") & has_mqtt
+    own = cases((_text("attack_type") == "MQTT_Malformed_Data", "mqtt_malformed"), (benign & ((category == "publisher_benign") | (kind == "publisher_benign")), "publisher_benign"), (benign, "profiling_benign"))
+    return F.when(F.col("modeling_split") == "fit", own)
+
+
+def group_code(group: Column, codes: dict[str, int]) -> Column:
+    """The small number of a validation group; one that has none fails."""
+    return F.coalesce(lookup(codes, group), F.raise_error(F.concat(F.lit("no such group: "), F.coalesce(group, F.lit("null")))).cast("int"))

@@ -177,3 +177,42 @@ def ranked_files(files: DataFrame, n: int) -> DataFrame:
 def first_rows(table: DataFrame, n: int, key: str = "pcap_id", order: str = "window_index") -> DataFrame:
     """The first n rows of each key."""
     return table.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_rank") <= n).drop("_rank")
+
+
+def with_test_metadata(captures: DataFrame) -> DataFrame:
+    """attack_family, attack_type and benign_category of test captures from their paths; what does not apply is empty, what is unknown fails."""
+    label, base = F.upper(F.trim("binary_label")), S.base_label(S.stem(F.col("pcap_path")))
+    attack = label == "ATTACK"
+    unknown = F.raise_error(F.concat(F.lit("no such attack: "), F.col("pcap_path"))).cast("string")
+    benign = F.when(label == "BENIGN", S.test_category(F.col("pcap_path"))).otherwise(F.raise_error(F.concat(F.lit("no such label: "), F.coalesce("binary_label", F.lit("null")))).cast("string"))
+    own = {"attack_family": F.when(attack, F.coalesce(S.attack_family(base), unknown)).otherwise(""), "attack_type": F.when(attack, F.coalesce(S.attack_type(base), unknown)).otherwise("")}
+    return captures.withColumns(own | {"benign_category": F.when(attack, "").otherwise(benign)})
+
+
+def validation_rows(split: DataFrame) -> DataFrame:
+    """Rows of the validation captures; one whose features are a sampled view or test data fails."""
+    path = F.regexp_replace("feature_parquet_path", r"\\", "/")
+    bad = path.contains("views/") | F.lower(path).contains("test")
+    message = F.concat(F.lit("not unsampled training features: "), path)
+    return split.where(F.col("modeling_split") == "validation").withColumn("feature_parquet_path", F.when(bad, F.raise_error(message).cast("string")).otherwise(F.col("feature_parquet_path")))
+
+
+def frozen_policy_rows(table: DataFrame, policy) -> DataFrame:
+    """Rows of a windowing table, as text, whose policy is this one in numbers; those that can't be read as numbers are passed over."""
+    number = lambda c: F.expr(f"try_cast({c} AS double)")
+    return table.where((F.floor(number("window_size")) == policy.window_size) & (number("inactivity_timeout_seconds") == policy.inactivity_s) & (number("backward_reset_seconds") == policy.backward_s) & (F.coalesce("pcap_path", F.lit("")) != ""))
+
+
+def manifest_inventory(manifest: DataFrame) -> DataFrame:
+    """Captures by label and rows of a build's manifest, in one row; a row that is not ok fails."""
+    label = F.upper(F.coalesce("binary_label", F.lit("")))
+    rows = F.when(F.lower(F.trim("status")) == "ok", F.coalesce(F.col("output_row_count").cast("long"), F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("not ok: "), F.col("pcap_id"))).cast("long"))
+    return manifest.agg(F.count(F.lit(1)).alias("pcap_count"), F.count_if(label == "ATTACK").alias("attack_pcaps"), F.count_if(label == "BENIGN").alias("benign_pcaps"), F.coalesce(F.sum(rows), F.lit(0)).alias("total_feature_rows"))
+
+
+def test_inventory_violations(inventory: DataFrame, fitted: DataFrame, captures: int, rows: int) -> DataFrame:
+    """violation, pcap_id: other numbers of captures or rows than expected, ids given twice, and ids of the fitting or validation split."""
+    total = inventory.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("output_row_count"), F.lit(0)).alias("k"))
+    wrong = total.select(F.explode(F.array_compact(F.array(F.when(F.col("n") != captures, "capture_count"), F.when(F.col("k") != rows, "row_count")))).alias("violation"), F.lit(None).cast("string").alias("pcap_id"))
+    twice = duplicates(inventory, "pcap_id").select(F.lit("duplicate_pcap").alias("violation"), "pcap_id")
+    return wrong.unionByName(twice).unionByName(overlap(inventory, fitted).select(F.lit("also_in_training").alias("violation"), "pcap_id"))

@@ -18,7 +18,8 @@ from . import metrics
 from .stats import finite
 
 #: Names of model families and what they need beyond Spark.
-EXTERNAL = {"xgboost": "xgboost.spark", "catboost": "catboost_spark"}
+#: Module, class, and the names that the class has for the columns of features and labels. Fixed values.
+EXTERNAL = {"xgboost": ("xgboost.spark", "SparkXGBClassifier", "features_col", "label_col"), "catboost": ("catboost_spark", "CatBoostClassifier", "featuresCol", "labelCol")}
 
 
 def assembled(table: DataFrame, columns: tuple[str, ...] = MODEL_FEATURES) -> DataFrame:
@@ -91,10 +92,12 @@ def build(name: str, **params):
     if name in EXTERNAL:
         import importlib
 
+        module, kind, features, label = EXTERNAL[name]
         try:
-            return importlib.import_module(EXTERNAL[name])
+            found = importlib.import_module(module)
         except ImportError as e:
-            raise RuntimeError(f"{name} needs the package {EXTERNAL[name].split('.')[0]}") from e
+            raise RuntimeError(f"{name} needs the package {module.split('.')[0]}") from e
+        return getattr(found, kind)(**{features: "features", label: "y"}, **params)
     return MODELS[name](**params)
 
 
@@ -110,6 +113,8 @@ def scored(model, table: DataFrame) -> DataFrame:
     out = model.transform(table)
     if isinstance(model, PipelineModel):
         out = out.withColumn("score", attack_probability(list(range(model.stages[-1].numClasses))))
+    elif "score" not in out.columns:  # an external package's
+        out = out.withColumn("score", attack_probability([0, 1]))
     return out.drop("features", "scaled", "rawPrediction", "probability", "prediction", "margin")
 
 
@@ -143,6 +148,25 @@ def ablations(fit: DataFrame, validation: DataFrame, name: str = "hist_gradient_
     return out
 
 
+#: What configurations are compared by.
+RECALLS = ("threshold", "fpr", "recon_recall", "mqtt_recall", "macro_recall", "min_recall")
+
+
+def recalls(scores: DataFrame, fpr_target: float) -> dict[str, float | None]:
+    """RECALLS of y, score, attack_family at the threshold of the FPR target; the hardest family counts for neither macro nor least recall."""
+    threshold = metrics.threshold_for_fpr(scores, [fpr_target]).first().threshold
+    own = {r.attack_family: r.recall for r in metrics.family_recall(scores, threshold).collect()}
+    supported = [own[x] for x in own if x != "Spoofing" and own[x] is not None]
+    fpr = metrics.with_metrics(metrics.confusion(scores, threshold)).first().fpr
+    return dict(zip(RECALLS, (float(threshold), fpr, own.get("Recon"), own.get("MQTT"), sum(supported) / len(supported) if supported else None, min(supported, default=None))))
+
+
+def held_out(fit: DataFrame, validation: DataFrame, params: dict, columns: tuple[str, ...] = MODEL_FEATURES, fpr_target: float = 0.001, name: str = "hist_gradient_boosting") -> dict[str, float | None]:
+    """recalls() on validation of a model of fit."""
+    model = build(name, **params).fit(assembled(fit, columns))
+    return recalls(scored(model, assembled(validation, columns)).select("y", "score", "attack_family"), fpr_target)
+
+
 def sensitivity(table: DataFrame, configs: dict[str, dict], columns: tuple[str, ...] = MODEL_FEATURES, fpr_target: float = 0.001, name: str = "hist_gradient_boosting") -> DataFrame:
     """config_id by fold: each fold is scored by a model of the others, at the threshold of its FPR target. table: y, fold, attack_family."""
     full = assembled(table, columns).cache()
@@ -152,12 +176,8 @@ def sensitivity(table: DataFrame, configs: dict[str, dict], columns: tuple[str,
         for f in folds:
             model = build(name, **params).fit(full.where(F.col("fold") != f))
             scores = scored(model, full.where(F.col("fold") == f)).select("y", "score", "attack_family").cache()
-            threshold = metrics.threshold_for_fpr(scores, [fpr_target]).first().threshold
-            by = metrics.family_recall(scores, threshold)
-            own = {r.attack_family: r.recall for r in by.collect()}
-            supported = [own[x] for x in own if x != "Spoofing" and own[x] is not None]
-            fpr = metrics.with_metrics(metrics.confusion(scores, threshold)).first().fpr
-            row = table.sparkSession.createDataFrame([(config, int(f), float(threshold), fpr, own.get("Recon"), own.get("MQTT"), sum(supported) / len(supported) if supported else None, min(supported, default=None))], "config_id string, fold int, threshold double, fpr double, recon_recall double, mqtt_recall double, macro_recall double, min_recall double")
+            own = recalls(scores, fpr_target)
+            row = table.sparkSession.createDataFrame([(config, int(f), *own.values())], "config_id string, fold int, " + ", ".join(f"{c} double" for c in RECALLS))
             out = row if out is None else out.unionByName(row)
             scores.unpersist()
     full.unpersist()

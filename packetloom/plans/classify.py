@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +26,12 @@ def classify_packets(packets: DataFrame, score: Callable[[DataFrame], DataFrame]
 
 
 def classify_files(spark: SparkSession, path: str, score: Callable[[DataFrame], DataFrame], **policy) -> DataFrame:
-    """Verdicts of all captures at path; those of other link types are UNSUPPORTED_INPUT and never decoded."""
-    kinds = pcap.linktypes(spark, path)
-    other = kinds.where(~F.coalesce(F.col("linktype").isin(*SUPPORTED), F.lit(False))).select("pcap_path").collect()
-    packets = pcap.packets(spark, path)
-    skipped = [pcap.capture_id(r.pcap_path) for r in other]
-    if skipped:
-        packets = packets.where(~F.col("pcap_id").isin(*skipped))
-    out = classify_packets(packets, score, **policy)
-    if skipped:
-        rows = spark.createDataFrame([(x, "UNSUPPORTED_INPUT") for x in skipped], "pcap_id string, status string")
-        out = out.unionByName(rows, allowMissingColumns=True)
-    return out
+    """Verdicts of all captures at path. Those of other link types are UNSUPPORTED_INPUT, files without a capture header ERROR; neither are read further, as
+    the scan gets the list of the others."""
+    kinds = [(r.pcap_path, r.linktype) for r in pcap.linktypes(spark, path).collect()]
+    good = [p for p, kind in kinds if kind in SUPPORTED]
+    rows = [(pcap.capture_id(p), "ERROR" if kind is None else "UNSUPPORTED_INPUT") for p, kind in kinds if kind not in SUPPORTED]
+    skipped = spark.createDataFrame(rows, "pcap_id string, status string")
+    if not good:
+        return skipped
+    return classify_packets(pcap.packets(spark, path, files=json.dumps(good)), score, **policy).unionByName(skipped, allowMissingColumns=True)

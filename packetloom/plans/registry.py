@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog, detection, packets, payloads
+from . import catalog, detection, evaluation, packets, payloads
 
-_ALL = packets.QUERIES | detection.QUERIES | catalog.QUERIES | payloads.QUERIES
+_ALL = packets.QUERIES | detection.QUERIES | catalog.QUERIES | payloads.QUERIES | evaluation.QUERIES
 
 
 def _bigint_counts(sql: str) -> str:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -85,10 +87,13 @@ class PcapReader(DataSourceReader):
         self.strict = options.get("strict", "false" if self.only_times else "true") == "true"
         self.most = int(options["maxpackets"]) if options.get("maxpackets") else None
         self.base = options.get("relativeto", "").rstrip("/")
+        self.only = json.loads(options["files"]) if options.get("files") else None
         self.schema = schema
 
     def partitions(self) -> list[InputPartition]:
-        if os.path.isfile(self.root):
+        if self.only is not None:
+            paths = self.only
+        elif os.path.isfile(self.root):
             paths = [self.root]
         elif os.path.isdir(self.root):
             paths = [os.path.join(d, n) for d, _, names in os.walk(self.root) for n in names if n.endswith(".pcap")]
@@ -117,7 +122,7 @@ class PcapReader(DataSourceReader):
 
 
 class PcapDataSource(DataSource):
-    """Options: path (a file or a folder that every executor sees), decode (full or none), strict, maxPackets, relativeTo (what pcap_id is hashed against)."""
+    """Options: path (a file or a folder that every executor sees), files (a JSON list of files, which alone are read), decode (full or none), strict, maxPackets, relativeTo (what pcap_id is hashed against)."""
 
     @classmethod
     def name(cls) -> str:
@@ -163,19 +168,32 @@ def stored_packets(spark: SparkSession, path: str, relative_to: str = "", strict
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """pcap_path, length of all captures below root, sorted."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pcap").load(root)
-    return found.select(F.regexp_replace("path", "^file:/+", "/").alias("pcap_path"), "length").orderBy("pcap_path")
+    """pcap_path, length of all captures below root, sorted; empty files too, which Spark's own file sources pass over."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files, found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        path = re.sub("^file:/+", "/", f.getPath().toString())
+        if path.endswith(".pcap"):
+            found.append((path, f.getLen()))
+    return spark.createDataFrame(found, "pcap_path string, length long").orderBy("pcap_path")
 
 
 def linktypes(spark: SparkSession, root: str) -> DataFrame:
-    """pcap_path, linktype from the first bytes; null where there is no capture header."""
-    head = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pcap").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("pcap_path"), F.hex(F.substring("content", 1, 4)).alias("magic"), F.hex(F.substring("content", 21, 4)).alias("raw"))
-    big = F.col("magic").isin("A1B2C3D4", "A1B23C4D")
-    little = F.col("magic").isin("D4C3B2A1", "4D3CB2A1")
-    turned = F.concat(*[F.substring("raw", i, 2) for i in (7, 5, 3, 1)])
-    value = F.conv(F.when(big, F.col("raw")).when(little, turned), 16, 10).cast("bigint").bitwiseAND(0x0FFFFFFF).cast("int")
-    return head.select("pcap_path", value.alias("linktype"))
+    """pcap_path, linktype from the first 24 bytes, which alone are read; null where there is no capture header. Files must be where executors see them."""
+
+    def peek(batches):
+        for batch in batches:
+            paths, kinds = [x.as_py() for x in batch.column(0)], []
+            for path in paths:
+                with open(path, "rb") as f:
+                    try:
+                        kinds.append(linktype_of(f.read(24)))
+                    except BadCapture:
+                        kinds.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(kinds, pa.int32())], names=["pcap_path", "linktype"])
+
+    return discover(spark, root).select("pcap_path").mapInArrow(peek, "pcap_path string, linktype int")
 
 
 def file_hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import random
+import sys
 import time
+import types
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,7 +166,7 @@ def test_stream_state_by_hand():
         online.advance([(5, 1.0, 1, "ok")], state, policy)
 
 
-def test_models(spark):
+def test_models(spark, monkeypatch):
     r = random.Random(5)
     rows = [packet(i, i * 0.1, f"c{i // 50}", is_tcp=(i // 50) % 2 == 0, is_ipv4=True, frame_length=60 + r.randint(0, 30)) for i in range(2000)]
     df = features.base_features(packets(spark, rows)).withColumn("y", (F.substring("pcap_id", 2, 9).cast("int") % 2 == 0).cast("int")).cache()
@@ -173,5 +175,10 @@ def test_models(spark):
     assert all(x.recall == x.specificity == x.roc_auc == 1.0 for x in out.values())
     with pytest.raises(RuntimeError):
         ml.build("xgboost")
+    stub = types.ModuleType("xgboost.spark")
+    stub.SparkXGBClassifier = lambda **p: p
+    monkeypatch.setitem(sys.modules, "xgboost", types.ModuleType("xgboost"))
+    monkeypatch.setitem(sys.modules, "xgboost.spark", stub)
+    assert ml.build("xgboost", max_depth=6) == {"features_col": "features", "label_col": "y", "max_depth": 6}
     with pytest.raises(ValueError):
         ml.attack_probability([0])

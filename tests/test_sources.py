@@ -1,11 +1,14 @@
 import io
 import json
+import shutil
 import threading
 import urllib.request
 
 import pytest
+from pyspark.sql import functions as F
 
 from packetloom import serving
+from packetloom.functions import scalars as S
 from packetloom.operators import sinks, verdict
 from packetloom.plans import classify
 from packetloom.schemas import FEATURE_TABLE, MODEL_FEATURES, assert_model_input
@@ -118,6 +121,63 @@ def test_build_and_resume(spark, tree, tmp_path):
     assert not sinks.mark_complete(mark, False, {}) and not (tmp_path / "done.json").exists()
 
 
+def test_a_repeated_build_leaves_the_same_rows(spark, tree, tmp_path):
+    packets = pcap.packets(spark, f"{tree}/a/one.pcap")
+    labels = packets.select("pcap_id").distinct().selectExpr("pcap_id", "'a/one.pcap' AS pcap_path", "'BENIGN' AS binary_label", "1L AS file_size")
+    for _ in range(2):  # as after a build that died before its manifest was there
+        (row,) = sinks.build(packets, labels, f"{tmp_path}/f").collect()
+        assert (row.status, row.output_row_count, row.windows_written, row.packets_processed) == ("ok", 2, 2, 60)
+    short = packets.where("packet_index < 20")  # now it has no window: the old shard goes
+    (row,) = sinks.build(short, labels, f"{tmp_path}/f").collect()
+    assert (row.status, row.output_row_count) == ("ok", 0) and sinks.shards(spark, f"{tmp_path}/f").isEmpty()
+    bad = packets.withColumn("parse_status", F.expr("CASE WHEN packet_index = 30 THEN 'error' ELSE parse_status END"))
+    (row,) = sinks.build(bad, labels, f"{tmp_path}/f").collect()
+    assert (row.status, row.error_message) == ("error", "packet with status error at 30") and sinks.shards(spark, f"{tmp_path}/f").isEmpty()
+
+
+@pytest.mark.parametrize("change", ["nothing", "pcap_path", "binary_label", "output_path", "file_size", "feature_strategy_version", "feature_build_strategy_version", "feature_schema_sha256", "policy", "status", "shard", "bytes"])
+def test_what_makes_a_build_stale(spark, tree, tmp_path_factory, change):
+    folder = tmp_path_factory.mktemp("stale")
+    packets = pcap.packets(spark, f"{tree}/a/one.pcap")
+    labels = packets.select("pcap_id").distinct().selectExpr("pcap_id", "'a/one.pcap' AS pcap_path", "'BENIGN' AS binary_label", "1L AS file_size")
+    built = sinks.build(packets, labels, f"{folder}/f")
+    manifest = spark.createDataFrame(built.collect(), built.schema)
+    if change in ("pcap_path", "binary_label"):
+        labels = labels.withColumn(change, F.lit("ATTACK"))
+    elif change == "file_size":
+        labels = labels.withColumn(change, F.lit(2).cast("long"))
+    elif change == "shard":
+        shutil.rmtree(next((folder / "f").glob("pcap_id=*")))
+    elif change == "bytes":
+        manifest = manifest.withColumn("output_file_size", F.col("output_file_size") + 1)
+    elif change != "nothing":
+        manifest = manifest.withColumn(change, F.lit("other"))
+    assert sinks.resumable(manifest, labels, f"{folder}/f").count() == (change == "nothing")
+    if change in ("nothing", "shard"):
+        (row,) = sinks.build_incremental(packets, labels, f"{folder}/f", manifest).collect()
+        assert (row.status, row.output_row_count, row.resumed) == ("ok", 2, change == "nothing")
+
+
+def test_a_file_without_a_header_fails_alone(spark, tree, tmp_path):
+    shutil.copytree(tree, tmp_path / "t")
+    (tmp_path / "t/broken.pcap").write_text("this is no capture")
+    out = {r.pcap_id.split("-")[0]: r.status for r in classify.classify_files(spark, f"{tmp_path}/t", lambda df: df.selectExpr("pcap_id", "tcp_ratio AS score"), least=1, k=1).collect()}
+    assert out == {"one": "OK", "two": "INSUFFICIENT_DATA", "raw": "UNSUPPORTED_INPUT", "broken": "ERROR"}
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u/broken.pcap").write_text("")
+    assert [r.status for r in classify.classify_files(spark, f"{tmp_path}/u", lambda df: df).collect()] == ["ERROR"]
+
+
+def test_addresses_in_two_spellings_are_equal(spark):
+    pairs = [("2001:db8::1", "2001:0DB8:0:0:0:0:0:1"), ("::", "0:0:0:0:0:0:0:0"), ("::1", "0::0:1"), ("10.0.0.1", "10.0.0.1")]
+    for a, b in pairs:
+        df = spark.createDataFrame([(a, b)], "a string, b string").select(S.packed_ip(F.col("a")).alias("a"), S.packed_ip(F.col("b")).alias("b")).first()
+        assert df.a == df.b and len(df.a) in (4, 16)
+    odd = ["", "10.0.0.256", "1:2:3", "::1::", "not an address", "1:2:3:4:5:6:7:8:9", None]
+    for x, r in zip(odd, spark.createDataFrame([(x,) for x in odd], "x string").select(S.packed_ip(F.col("x")).alias("p")).collect()):
+        assert (None if r.p is None else bytes(r.p)) == (None if x is None else x.encode())
+
+
 def test_csv_nulls(spark, tmp_path):
     (tmp_path / "s.csv").write_text("pcap_path,source,grouping_key,split,split_origin,strategy_version,seed\na,x,,train,o,v,1\na,x,,test,o,v,\n")
     (row,) = tables.splits(spark, f"{tmp_path}/s.csv").collect()

@@ -110,7 +110,8 @@ def test_arp_features(spark):
     none = features.arp_features(timed(spark, range(25))).first()
     assert all(none[f] == 0 for f in ARP_FEATURES)
     c = stats.arp_capture_stats(packets(spark, rows)).first()
-    assert (c.valid_identity_obs, c.conflict_ip_count, c.conflict_obs_count, c.novel_mac_claim_count, c.mapping_transition_count, c.first_conflict_event_count, c.packet_distances, c.time_distances) == (4, 1, 3, 1, 2, 1, [1.0], [1.0])
+    assert (c.valid_identity_obs, c.conflict_ip_count, c.conflict_obs_count, c.novel_mac_claim_count, c.mapping_transition_count, c.first_conflict_event_count) == (4, 1, 3, 1, 2, 1)
+    assert [(r.packets_to, r.seconds_to) for r in stats.arp_distances(packets(spark, rows)).collect()] == [(1.0, 1.0)]
 
 
 def text(x):
