@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, texts, written
+from .filters import bloom_filter, passes
 
 #: Words in a window, and words of it that must not be placeholders.
 WINDOW, LEAST_PLAIN = 8, 5
 #: A document holds an item from this share of the item's windows on, or from this many windows on end.
 LEAST_SHARE, LEAST_RUN = 0.3, 6
-#: Window hashes of all items that tasks get as an array, at most (8 bytes each); beyond it they are joined through a shuffle.
-MOST_SENT = 500_000
 REMEMBERED = 600_000
 #: Added to the width that begins the hash of an exact window.
 EXACT = 16
@@ -151,17 +150,12 @@ def _item_rows(items: DataFrame) -> DataFrame:
     return in_batches(items, run, WINDOW_ROWS)
 
 
-def _document_rows(docs: DataFrame, shapes: list[tuple[int, bool]], only: np.ndarray | None = None) -> DataFrame:
-    """The windows of each document that have one of the shapes, which are (width, exact); only those with these hashes, if given. Of windows that are
-    exact the first of each hash is enough."""
-
-    def known(hashes: np.ndarray) -> np.ndarray:
-        return np.ones(len(hashes), bool) if only is None else only[np.minimum(np.searchsorted(only, hashes), len(only) - 1)] == hashes
+def _document_rows(docs: DataFrame, shapes: list[tuple[int, bool]], known: np.ndarray) -> DataFrame:
+    """The windows of each document that have one of the shapes, which are (width, exact), and pass the filter of known hashes. Of windows that are exact
+    the first of each hash is enough."""
 
     def run(batch: pa.RecordBatch) -> dict | None:
         rows = []
-        if only is not None and not len(only):
-            return None
         for doc, text in zip(batch.column(0).to_pylist(), texts(batch)):
             codes, kind, words, plain = template(text)
             for width, exact in shapes:
@@ -169,69 +163,87 @@ def _document_rows(docs: DataFrame, shapes: list[tuple[int, bool]], only: np.nda
                     continue
                 if exact:
                     hashes = exact_windows(plain, width)
-                    at = np.flatnonzero(known(hashes))
+                    at = np.flatnonzero(passes(hashes, known))
                     hashes, first = np.unique(hashes[at], return_index=True)
                     rows += [(doc, int(h), int(p), "", width, True) for h, p in zip(hashes, at[first])]
                     continue
                 hashes, at, second = with_sentence_starts(codes, kind, plain, width)
-                found = known(hashes)
+                found = passes(hashes, known)
                 rows += [(doc, int(h), int(p), slots(words, kind, int(p) + int(s), width - int(s)), width, False) for h, p, s in zip(hashes[found], at[found], second[found])]
         return _rows(rows)
 
     return in_batches(docs, run, WINDOW_ROWS)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (of the item found in the document), item_windows, longest_run, n_reworded (windows whose slots differ).
 
     A window counts if its slots agree with the item's, or if each slot value of the item stands for one value throughout the document's match, so that a
-    question with other numbers or names is found, but a mere pattern of numbers is not. An item of fewer than WINDOW words is found by a window of its own
-    width, word for word or with other slot values; one without a window of LEAST_PLAIN plain words is found word for word only. Null or empty texts match nothing. An item given twice counts once
-    an item_id; a null doc_id matches as a document of its own id, null."""
-    own = _item_rows(benchmark.select(F.col("item_id").alias("id"), "text")).groupBy("id", "hash", "width", "exact").agg(F.min_by(F.struct("pos", "slots"), "pos").alias("w")).select(F.col("id").alias("item_id"), "hash", "width", "exact", F.col("w.pos").alias("item_pos"), F.col("w.slots").alias("item_slots"))
+    question with other numbers or names is found, but a mere pattern of numbers is not. All places of a window count: those at one offset to the item are
+    judged together. An item of fewer than WINDOW words is found by a window of its own width, word for word or with other slot values; one without a window
+    of LEAST_PLAIN plain words is found word for word only. Null or empty texts match nothing, nor do texts match an item without words; texts of any length
+    are read whole. An item given twice counts once an item_id, an item with null item_id as an item of its own, null; a null doc_id matches as a document of
+    its own id, null, and rows that repeat a doc_id as one document. Other columns play no part. Without documents or items there are no rows."""
+    own = _item_rows(benchmark.select(F.col("item_id").alias("id"), "text")).select(F.col("id").alias("item_id"), "hash", "width", "exact", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")).distinct()
     own = written(own, "item-windows")
-    hashes = own.select("hash").distinct()
-    sent = hashes.limit(most_sent + 1).toArrow()["hash"].to_numpy()
     shapes = sorted((r.width, r.exact) for r in own.select("width", "exact").distinct().collect())
-    in_docs = _document_rows(docs.select(F.col("doc_id").alias("id"), "text"), shapes, np.sort(sent) if len(sent) <= most_sent else None).select(F.col("id").alias("doc_id"), "hash", "pos", "slots")
+    known = bloom_filter(own.select("hash").distinct())
+    in_docs = _document_rows(docs.select(F.col("doc_id").alias("id"), "text"), shapes, known).select(F.col("id").alias("doc_id"), "hash", "pos", "slots")
     totals = own.groupBy("item_id").agg(F.count_distinct("item_pos").alias("item_windows"))
-    # The one window of a short item must agree with itself; of a window's places in a document the first counts, and an exact one before all others.
+    # The one window of a short item must agree with itself.
     here, there = F.split("slots", "\n"), F.split("item_slots", "\n")
     agrees = F.col("exact") | (F.col("width") == WINDOW) | (F.size(F.array_distinct(F.arrays_zip(here, there))) == F.size(F.array_distinct(there)))
-    hit = in_docs.join(own, "hash").where(agrees).groupBy("doc_id", "item_id", "item_pos").agg(F.min_by(F.struct("pos", "slots", "item_slots"), F.struct(~F.col("exact"), "pos")).alias("w"))
-    pair = hit.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list(F.struct("item_pos", F.col("w.pos").alias("pos"), F.col("w.slots").alias("slots"), F.col("w.item_slots").alias("item_slots")))).alias("found"))
+    hit = in_docs.join(own, "hash").where(agrees).select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"), F.struct("item_pos", "slots", "item_slots").alias("w"))
+    # A row holds no more than an item's windows; quotes that are repeated word for word become one.
+    aligned = hit.groupBy("doc_id", "item_id", "offset").agg(F.sort_array(F.collect_set("w")).alias("found")).groupBy("doc_id", "item_id", "found").agg(F.min("offset").alias("offset"))
+    pair = aligned.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list(F.struct("offset", "found"))).alias("places"))
 
     def judge(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"n_windows": [], "longest_run": [], "n_reworded": []}
-        for found in batch.column(2).to_pylist():
-            n, run, longest, reworded = consistent([(f["item_pos"], f["pos"], f["slots"], f["item_slots"]) for f in found])
+        for places in batch.column(2).to_pylist():
+            n, longest, reworded = best_match([[(f["item_pos"], f["slots"], f["item_slots"]) for f in p["found"]] for p in places])
             out["n_windows"].append(n)
             out["longest_run"].append(longest)
             out["n_reworded"].append(reworded)
         return {"doc_id": batch.column(0), "item_id": batch.column(1)} | out
 
     judged = in_batches(pair, judge, "doc_id long, item_id long, n_windows long, longest_run long, n_reworded long")
-    return judged.join(totals, "item_id").select("doc_id", "item_id", "n_windows", "item_windows", "longest_run", "n_reworded")
+    return judged.join(totals.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item"))).select("doc_id", "item_id", "n_windows", "item_windows", "longest_run", "n_reworded")
 
 
-def consistent(found: list[tuple[int, int, str, str]]) -> tuple[int, int, int, int]:
-    """Windows that fit one assignment of slot values, the length of the last and the longest run of them, and those with other values than the item's."""
-    means: dict[str, str] = {}
-    n = run = longest = reworded = 0
+def consistent(found: list[tuple[int, str, str]], means: dict[str, str]) -> tuple[dict[int, bool], int, dict[str, str]]:
+    """Of windows at one offset, by item position, those that fit one assignment of slot values and whether they have other values than the item's; the
+    longest run of them; and the assignment, which begins as means."""
+    means, fitting = dict(means), {}
+    run = longest = 0
     before = None
-    for item_pos, pos, here, there in found:
+    for item_pos, here, there in found:
         mine, theirs = here.split("\n"), there.split("\n")
-        fits = len(mine) == len(theirs) and all(means.get(t, m) == m for t, m in zip(theirs, mine))
-        if not fits:
-            run, before = 0, None
+        if item_pos in fitting or len(mine) != len(theirs):
+            continue
+        new = dict(zip(theirs, mine))
+        if any(new[t] != m for t, m in zip(theirs, mine)) or any(means.get(t, m) != m for t, m in new.items()):
             continue
-        means.update(zip(theirs, mine))
-        n += 1
-        reworded += mine != theirs
-        run = run + 1 if before is not None and item_pos - before[0] == pos - before[1] and item_pos - before[0] <= WINDOW else 1
-        before = (item_pos, pos)
+        means |= new
+        fitting[item_pos] = mine != theirs
+        run = run + 1 if before is not None and item_pos - before <= WINDOW else 1
+        before = item_pos
         longest = max(longest, run)
-    return n, run, longest, reworded
+    return fitting, longest, means
+
+
+def best_match(places: list[list[tuple[int, str, str]]]) -> tuple[int, int, int]:
+    """Windows of an item that fit one assignment, the longest run of them, and those with other values than the item's. Each offset is judged on its own;
+    to the one with most windows those of the others are added that agree with its assignment, as in a quote with words put in."""
+    judged = [(f, *consistent(f, {})) for f in places]
+    judged.sort(key=lambda x: (-len(x[1]), -x[2]))
+    _, fitting, longest, means = judged[0]
+    for found, _, own_longest, _ in judged[1:]:
+        longest = max(longest, own_longest)
+        more, _, after = consistent([f for f in found if f[0] not in fitting], means)
+        if more:
+            fitting, means = fitting | more, after
+    return len(fitting), longest, sum(fitting.values())
 
 
 def contaminated(found: DataFrame) -> F.Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, per_task, scratch, texts, written
 from .components import components
+from .filters import bloom_filter, passes
 
 #: Bytes of text that are hashed at once, about.
 SEGMENT = 1 << 20
@@ -28,10 +29,10 @@ COUNTERS, CHUNKS = 1 << 24, 64
 FANOUT = 8
 #: Sets, and bytes of them, in one tree at most. Larger groups are cut in cells.
 CELL_SETS, CELL_BYTES = 4096, 32 << 20
-#: Digests that a task remembers, and bits that a filter of ids has for each of them, and in all at most.
-REMEMBERED, FILTER_BITS, MOST_FILTER_BITS = 300_000, 16, 1 << 27
+#: Digests that a task remembers.
+REMEMBERED = 300_000
 
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = int(_M1)
 
 
@@ -432,54 +433,13 @@ def _tree_links(cells: DataFrame, keys: tuple[str, ...], percent: int) -> DataFr
     return _together_by(cells, *keys).select(*keys, "rep", "component", "set").mapInArrow(run, "a long, b long")
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of ids (column rep) as bits; of bounded size, so that more ids let more others through and lose none. Put together by parts on the
-    executors."""
-    n_bits = min(MOST_FILTER_BITS, max(1 << 16, 1 << (FILTER_BITS * ids.count()).bit_length()))
-    size = n_bits // 8 // CHUNKS
-
-    def mark(batches):
-        bits = np.zeros(n_bits, bool)
-        for batch in batches:
-            for at in _filter_places(batch.column(0).to_numpy(), n_bits):
-                bits[at] = True
-        parts = np.packbits(bits).reshape(CHUNKS, -1)
-        used = np.flatnonzero(parts.any(axis=1))
-        yield {"chunk": used, "bits": [parts[k].tobytes() for k in used]}
-
-    def both(batches):
-        out: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out[k] = out.get(k, 0) | np.frombuffer(bits, np.uint8)
-        yield {"chunk": list(out), "bits": [v.tobytes() for v in out.values()]}
-
-    marks = per_task(ids.select("rep"), mark, "chunk long, bits binary").repartition(CHUNKS, "chunk")
-    out = np.zeros((CHUNKS, size), np.uint8)
-    for r in per_task(marks, both, "chunk long, bits binary").collect():
-        out[r.chunk] = np.frombuffer(r.bits, np.uint8)
-    return out.ravel()
-
-
-def _filter_places(ids: np.ndarray, n_bits: int) -> tuple[np.ndarray, ...]:
-    x = ids.astype(np.int64).view(np.uint64)
-    return tuple((_mixed(_mixed(x, a), b) % np.uint64(n_bits)).astype(np.int64) for a, b in ((_M1, _M2), (_M2, _M3), (_M3, _M1)))
-
-
-def _passes(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    out = np.ones(len(ids), bool)
-    for at in _filter_places(ids, len(bits) * 8):
-        out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """rep, set (sorted hashes as bytes) of the documents with these ids (column rep), and of a few others; each different set of an id once."""
-    known = _id_filter(ids)
+    known = bloom_filter(ids.select("rep"))
 
     def run(batch: pa.RecordBatch) -> dict | None:
         own = np.array([-1 if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-        good = np.flatnonzero(_passes(own, known) & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+        good = np.flatnonzero(passes(own, known) & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
         if not len(good):
             return None
         found = all_shingles(texts(batch.take(pa.array(good))), shingle)

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from packetloom.llm import boosting, decontaminate, gif, html_text, jaccard_join, language_id, line_dedup, mixing, pii, quality, token_counts
+from packetloom.llm import boosting, decontaminate, filters, gif, html_text, jaccard_join, language_id, line_dedup, mixing, pii, quality, token_counts
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -627,19 +627,64 @@ def test_templates_find_passages_and_new_numbers(spark):
 
 
 def test_slots_must_be_consistent():
-    assert decontaminate.consistent([(0, 0, "47", "12"), (1, 1, "47", "12"), (2, 2, "48", "12")])[0] == 2
-    assert decontaminate.consistent([(0, 5, "", ""), (1, 6, "", ""), (3, 8, "", "")]) == (3, 3, 3, 0)
+    fits = lambda found: decontaminate.consistent(found, {})
+    assert list(fits([(0, "47", "12"), (1, "47", "12"), (2, "48", "12")])[0]) == [0, 1]
+    assert fits([(0, "", ""), (1, "", ""), (3, "", "")])[:2] == ({0: False, 1: False, 3: False}, 3)
+    assert fits([(0, "5\n6", "4\n4"), (1, "5\n5", "4\n4")])[0] == {1: True}  # one value can't stand for two
+    assert decontaminate.best_match([[(0, "48", "12"), (1, "48", "12")], [(i, "12", "12") for i in range(5)]]) == (5, 5, 0)
+    assert decontaminate.best_match([[(0, "", ""), (1, "", "")], [(5, "", ""), (6, "", ""), (7, "", "")]]) == (5, 3, 0)  # words put in between
 
 
-def test_shuffled_windows_give_the_same(spark):
-    texts = ["x y z " * 5 + ITEM, "nothing of the sort here at all, really nothing of it"]
-    a = decontaminate.matches(make(spark, texts), bench(spark)).collect()
-    b = decontaminate.matches(make(spark, texts), bench(spark), most_sent=0).collect()
-    assert sorted(a) == sorted(b) and len(a) == 1
-
-
-@pytest.mark.parametrize("most_sent", [decontaminate.MOST_SENT, 0])
-def test_short_items_are_found_in_long_documents(spark, most_sent):
+def test_an_earlier_partial_quote_takes_nothing_away(spark):
+    filler = "some quite different words that nobody asked for in this place "
+    early = " ".join(ITEM.replace("12", "99").split()[:14])
+    texts = [filler + early + " " + filler + ITEM + " " + filler, filler + " ".join([ITEM] * 30), filler + " ".join(ITEM.split()[:11]) + " indeed and truly " + " ".join(ITEM.split()[11:])]
+    got = {r.doc_id: r for r in decontaminate.matches(make(spark, texts), bench(spark)).collect()}
+    assert all(got[i].n_windows == got[i].longest_run == got[i].item_windows and got[i].n_reworded == 0 for i in (0, 1))
+    assert got[2].longest_run < got[2].n_windows < got[2].item_windows  # both parts count
+
+
+def test_matches_equal_brute_force(spark):
+    """The same windows compared one by one, without hashes sent, filters or joins."""
+    r = random.Random(6)
+    words = "the farmer sells apples pears to every town near river and takes money home each day because it rains".split()
+    sentence = lambda n: " ".join(r.choice(words) if r.random() < 0.85 else r.choice(("12", "Paris", "7", "km", "3")) for _ in range(n))
+    items = [(i, sentence(r.choice((4, 7, 12, 30)))) for i in range(12)] + [(None, sentence(15)), (50, None), (51, "...")]
+    docs = [(i, sentence(30) + " " + " ".join(r.choice(items)[1] or "" for _ in range(r.randint(0, 3))) + " " + sentence(10)) for i in range(60)] + [(None, items[3][1]), (90, None), (91, "")]
+    docs += [(100 + i, sentence(8) + " " + text.replace("12", "13").replace("Paris", "Rome")) for i, text in items[:12]]
+    expected = {}
+    for item, text in items:
+        codes, kind, own, plain = decontaminate.template(text or "")
+        width = min(decontaminate.WINDOW, len(codes))
+        hashes, at = decontaminate.windows(codes, kind)
+        rows = [(h, p, decontaminate.slots(own, kind, p, width), width, False) for h, p in zip(hashes, at)]
+        if width < decontaminate.WINDOW or not len(at):
+            rows += [(h, p, "", width, True) for p, h in enumerate(decontaminate.exact_windows(plain))]
+        for doc, body in docs:
+            codes, kind, own, plain = decontaminate.template(body or "")
+            places = {}
+            for h, p, s, width, exact in rows:
+                if width > len(codes):
+                    continue
+                if exact:
+                    found = [(q, "") for q in np.flatnonzero(decontaminate.exact_windows(plain, width) == h)[:1]]
+                else:
+                    hs, qs, second = decontaminate.with_sentence_starts(codes, kind, plain, width)
+                    found = [(q, decontaminate.slots(own, kind, q + int(x), width - int(x))) for g, q, x in zip(hs, qs, second) if g == h]
+                    if width < decontaminate.WINDOW:
+                        found = [(q, t) for q, t in found if len(set(zip(t.split("\n"), s.split("\n")))) == len(set(s.split("\n"))) and t.count("\n") == s.count("\n")]
+                for q, t in found:
+                    places.setdefault(q - p, set()).add((int(p), t, s))
+            if places:
+                distinct = {}
+                for offset in sorted(places):
+                    distinct.setdefault(tuple(sorted(places[offset])), offset)
+                expected[doc, item] = (*decontaminate.best_match([list(f) for f in distinct]), len({p for _, p, *_ in rows}))
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): (x.n_windows, x.longest_run, x.n_reworded, x.item_windows) for x in got} == expected and len(expected) > 60
+
+
+def test_short_items_are_found_in_long_documents(spark):
     filler = "some quite different words that nobody asked for in this place. "
     sums, town, seven = "What is 12 + 34 * 56 - 78?", "Paris Lyon 7 km 8 km Rome 9 km Oslo", "the farmer sells 5 apples and 5"
     items = spark.createDataFrame([(1, "Short one."), (2, sums), (3, town), (4, seven)], "item_id long, text string")
@@ -647,7 +692,7 @@ def test_short_items_are_found_in_long_documents(spark, most_sent):
         filler * 2 + "a short one, " + filler, filler + sums + " " + filler * 2, filler + sums.replace("34", "35") + filler, filler + town + " " + filler, filler + town.replace("7", "6") + " " + filler,
         filler + "Then the farmer sells 6 apples and 6 " + filler, filler + "then the farmer sells 6 apples and 7 " + filler, filler + seven.replace("5", "4", 1) + " " + filler + seven, filler * 4, "one short", "short ONE",
     ]
-    found = decontaminate.matches(make(spark, texts), items, most_sent=most_sent)
+    found = decontaminate.matches(make(spark, texts), items)
     got = {(r.doc_id, r.item_id): r for r in found.where(decontaminate.contaminated(found)).collect()}
     assert set(got) == {(0, 1), (1, 2), (3, 3), (5, 4), (7, 4), (10, 1)}
     assert got[5, 4].n_reworded == 1 and got[7, 4].n_reworded == 0 and all(r.n_windows <= r.item_windows for r in got.values())
@@ -657,3 +702,13 @@ def test_decontamination_odd_and_empty(odd, nothing, spark):
     assert decontaminate.op10_decontaminate(odd, bench(spark)).collect() == []
     assert decontaminate.op10_decontaminate(nothing, bench(spark)).collect() == []
     assert decontaminate.op10_decontaminate(odd, bench(spark).limit(0)).collect() == []
+    clash = bench(spark).selectExpr("item_id", "text", "'x' AS hash", "'y' AS doc_id").unionByName(spark.createDataFrame([(None, ITEM, "x", "y"), (1, ITEM, "x", "y")], "item_id long, text string, hash string, doc_id string"))
+    docs = spark.createDataFrame([(None, ITEM, 1), (7, ITEM, 2), (7, ITEM, 2)], "doc_id long, text string, offset int")
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in decontaminate.op10_decontaminate(docs, clash).collect()) == [("7", "1"), ("7", "None"), ("None", "1"), ("None", "None")]
+
+
+def test_bloom_filters_lose_nothing(spark):
+    own = [3 * i - 10**6 for i in range(5000)]
+    bits = filters.bloom_filter(spark.createDataFrame([(x,) for x in own], "x long"))
+    assert filters.passes(np.array(own), bits).all() and filters.passes(np.array([x + 1 for x in own]), bits).mean() < 0.02
+    assert not filters.passes(np.array(own), filters.bloom_filter(spark.createDataFrame([], "x long"))).any()

@@ -68,6 +68,37 @@ def test_every_stage_takes_odd_tables(spark, odd, nothing, tables):
             assert stage(spark, docs, tables).count() <= n
 
 
+def test_stages_judge_rows_without_an_id_and_rows_that_repeat_one(spark, tables):
+    clean = {r.doc_id: r.text for r in common.read(spark, tables, "documents").collect()}
+    item = common.read(spark, tables, "benchmark").first().text
+    rows = [(None, clean[2], "a"), (None, clean[2] + " end", "b"), (None, "123 456", "c"), (None, f"{clean[3]} {item}", "d"), (7, "123 456", "e"), (7, clean[5], "f"), (8, clean[6], "g"), (8, clean[6], "g"), (9, f"{clean[9]} {item}", "h"), (9, clean[10], "i"), (2, clean[2], "j")]
+    docs = spark.createDataFrame([(i, text, "en", "s", len(text), tag, "n", "l", "k", "w", "t") for i, text, tag in rows], "doc_id long, text string, lang string, source string, n_chars long, tag string, n_lines string, kept_lines string, copies string, row string, component_id string")
+    stage = dict(corpus_pipeline.STAGES)
+    tags = lambda df: "".join(sorted(r.tag for r in df.collect()))
+    assert tags(stage["language_id"](spark, docs, tables)) == "abdfgghij"
+    assert tags(stage["decontaminate"](spark, docs, tables)) == "abcefggij"
+    near = docs.where("tag NOT IN ('c', 'e')")
+    assert tags(stage["jaccard_join"](spark, near, tables)) == "dfgghij"  # rows without an id give way to the one with an id
+    out = stage["line_dedup"](spark, docs, tables)
+    assert out.columns == docs.columns and {(r.n_lines, r.kept_lines, r.row) for r in out.collect()} == {("n", "l", "w")}
+    mix = stage["mixing"](spark, docs, tables)
+    assert mix.columns == [*[c for c in docs.columns if c != "copies"], "copies"] and all(r.copies >= 1 and r.n_lines == "n" for r in mix.collect())
+
+
+def test_tables_of_a_stage_go_with_it(spark, tmp_path):
+    df = spark.range(5)
+    with common.scratch():
+        inner = common.written(df, "gone")
+        with common.scratch():
+            kept = common.written(df, "kept", keep=True)
+        assert kept.count() == inner.count() == 5
+        last = common.written(df, "last", keep=True)
+    assert last.count() == 5
+    for gone in (inner, kept):
+        with pytest.raises(Exception):
+            gone.count()
+
+
 def test_nothing_local_where_the_cluster_names_a_folder():
     class Session:
         class conf:
