@@ -34,107 +34,194 @@ BOXES = frozenset("center details div fieldset search section".split())
 LISTS, HEADINGS, PROSE = frozenset("dl figure ol table ul".split()), frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("blockquote p pre".split())
 SCOPES = frozenset("article section div body ul ol dl table td th main blockquote html".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([A-Za-z][A-Za-z0-9:-]*)[^>]*>|<([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: Tags on a page whose quotes never close, after which quotes count for nothing on it: so a page of them is read in one pass.
+MOST_UNCLOSED = 8
+_NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
+_ENDS = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…。，]")
 
 
+class Paths:
+    """Root-to-leaf tag paths as numbers: each has its parent's number and its last tag, so deep pages cost no more than their tags."""
+
+    def __init__(self):
+        self.parent, self.tag, self.in_content = [0], [""], [False]
+        self.known: dict[tuple[int, str], int] = {}
+
+    def below(self, path: int, tag: str) -> int:
+        n = self.known.get((path, tag))
+        if n is None:
+            n = self.known[path, tag] = len(self.tag)
+            self.parent.append(path)
+            self.tag.append(tag)
+            self.in_content.append(self.in_content[path] or tag in ("article", "main"))
+        return n
+
+
 class Block:
-    __slots__ = ("path", "parts", "banned", "links", "box", "listed")
+    __slots__ = ("path", "parts", "banned", "links", "box", "listed", "own")
 
-    def __init__(self, path: str, banned: bool, box: tuple[int, ...] = (0,), listed: bool = False):
-        self.path, self.parts, self.banned, self.links, self.box, self.listed = path, [], banned, 0, box, listed
+    def __init__(self, path: int, banned: bool, box: tuple[int, ...] = (0,), listed: bool = False):
+        self.path, self.parts, self.banned, self.links, self.box, self.listed, self.own = path, [], banned, 0, box, listed, None
 
     def text(self) -> str:
-        return _SPACE.sub(" ", "".join(self.parts)).strip()
+        if self.own is None:
+            self.own = _SPACE.sub(" ", "".join(self.parts)).strip()
+        return self.own
 
     def mostly_links(self) -> bool:
         return 2 * self.links >= len(self.text())
 
 
-def blocks(page: str) -> list[Block]:
+def tokens(page: str):
+    """(text, tag, closing, attributes) of the page in order; a text has no tag. Comments, declarations and sections of data are left out, what follows an end
+    that is missing too; a tag without an end is text. What a raw element holds is left out by sending a place to go on from."""
+    at, n, last = 0, len(page), page.rfind(">")
+    last_quote = {q: page.rfind(q) for q in "\"'"}
+    unclosed = 0
+    while at < n:
+        start = page.find("<", at)
+        if start != at:
+            start = n if start < 0 else start
+            yield page[at:start], None, False, ""
+            at = start
+            continue
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            end = page.find("-->" if page[at + 2] == "-" else "]]>", at + 4)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        closing = page.startswith("/", at + 1)
+        name = _NAME.match(page, at + 1 + closing)
+        if at > last or not (name or page[at + 1 : at + 2] in ("!", "?")):
+            yield "<", None, False, ""
+            at += 1
+            continue
+        if not name or closing or unclosed >= MOST_UNCLOSED:
+            end = page.find(">", at)
+        else:
+            end = name.end()
+            while m := _ENDS.search(page, end):
+                if m[0] == ">":
+                    end = m.start()
+                    break
+                if m.start() == last_quote[m[0]]:  # a quote that never closes is a mark like others
+                    end = m.end()
+                else:
+                    end = page.find(m[0], m.end()) + 1
+            else:
+                unclosed += 1
+                end = page.find(">", at)
+        at = end + 1
+        if name:
+            jump = yield None, name[0].lower(), closing, "" if closing else page[name.end() : end]
+            if jump is not None:
+                at = n if jump == "never" else _after(page, at, jump)
+                yield None, "", False, ""
+
+
+def _after(page: str, at: int, tag: str) -> int:
+    m = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+    return m.end() if m else len(page)
+
+
+class _Open:
+    """An open element."""
+
+    __slots__ = ("tag", "path", "block", "banned", "linked", "boxes", "listed")
+
+    def __init__(self, tag, path, block, banned, linked, boxes, listed):
+        self.tag, self.path, self.block, self.banned, self.linked, self.boxes, self.listed = tag, path, block, banned, linked, boxes, listed
+
+
+def blocks(page: str) -> tuple[list[Block], Paths]:
     """The page's blocks in order, each with the path of tags and the boxes that lead to it."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...], bool]] = []  # tag, path, banned, in a link, boxes, in a list of the last box
+    paths = Paths()
+    root = _Open("", 0, 0, False, False, (0,), False)
+    stack: list[_Open] = []
+    n_open: dict[str, int] = {}
     n_boxes = 0
     now: Block | None = None
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.match(page, at)
-        if m is None:  # a tag that never ends
-            break
-        at = m.end()
-        closing, tag, attributes, text = m.groups()
-        if stack and stack[-1][0] == "head" and (text.strip() if text is not None else tag and tag.lower() not in HEAD):
-            stack.pop()
-        if text is not None:
-            banned, linked, box, listed = stack[-1][2:] if stack else (False, False, (0,), False)
+
+    def shut(i: int) -> None:
+        for x in stack[i:]:
+            n_open[x.tag] -= 1
+        del stack[i:]
+
+    def shut_within_scope(tags) -> None:
+        if any(n_open.get(t) for t in tags):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].tag in tags:
+                    shut(i)
+                    return
+                if stack[i].tag in SCOPES:
+                    return
+
+    found = tokens(page)
+    for text, tag, closing, attributes in found:
+        if stack and stack[-1].tag == "head" and (text.strip() if tag is None else not closing and tag not in HEAD):
+            shut(len(stack) - 1)
+        top = stack[-1] if stack else root
+        if tag is None:
             if now is None:
-                now = Block(next((s[1] for s in reversed(stack) if s[0] in BLOCKS), ""), banned, box, listed)
+                now = Block(top.block, top.banned, top.boxes, top.listed)
                 out.append(now)
             value = html.unescape(text)
-            if banned and not now.banned:
+            if top.banned and not now.banned:
                 continue
             now.parts.append(value)
-            if linked:
+            if top.linked:
                 now.links += len(value)
-        elif tag:
-            tag = tag.lower()
+        elif closing:
+            if tag in BLOCKS:
+                now = None
+            if n_open.get(tag):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].tag == tag:
+                        shut(i)
+                        break
+                    if tag not in BLOCKS and stack[i].tag in BLOCKS:
+                        break
+        else:
             if tag == "br":
                 if now is not None:
                     now.parts.append(" ")
                 continue
             if tag in BLOCKS:
                 now = None
-                shuts = CLOSES.get(tag)
-                if shuts:
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] in shuts:
-                            del stack[i:]
-                            break
-                        if stack[i][0] in SCOPES:
-                            break
-                elif any(s[0] == "p" for s in stack[-3:]):  # a block ends an open paragraph
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == "p":
-                            del stack[i:]
-                            break
-                        if stack[i][0] in SCOPES:
-                            break
+                if tag in CLOSES:
+                    shut_within_scope(CLOSES[tag])
+                elif any(x.tag == "p" for x in stack[-3:]):  # a block ends an open paragraph
+                    shut_within_scope(("p",))
             if tag in VOID or attributes.endswith("/"):
                 continue
-            above = stack[-1] if stack else ("", "", False, False, (0,), False)
-            in_content = any(s[0] in ("article", "main") for s in stack)
-            banned = above[2] or tag in NEVER or (tag == "header" and not in_content)
+            top = stack[-1] if stack else root
+            in_content = paths.in_content[top.path]
+            banned = top.banned or tag in NEVER or (tag == "header" and not in_content)
             if attributes and not banned and tag not in ("html", "body", "article", "main"):
                 marked = MARKED_INSIDE if in_content else MARKED
                 banned = any(marked.search(" ".join(filter(None, a))) for a in _ATTRIBUTE.findall(attributes)) or bool(_HIDDEN.search(attributes))
-            box, listed = above[4], above[5] or tag in LISTS
+            box, listed = top.boxes, top.listed or tag in LISTS
             if tag in BOXES and not listed and not (tag == "section" and in_content):
                 n_boxes += 1
                 box = (*box[-7:], n_boxes)
-            stack.append((tag, f"{above[1]}/{tag}", banned, above[3] or tag == "a", box, listed))
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                stack.pop()
-                at = end.end() if end else n
-        elif closing:
-            tag = closing.lower()
-            if tag in BLOCKS:
-                now = None
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in BLOCKS or not any(s[0] in BLOCKS for s in stack[i + 1 :]):
-                        del stack[i:]
-                    break
-    return [b for b in out if b.text()]
+                found.send(tag)
+                continue
+            path = paths.below(top.path, tag)
+            stack.append(_Open(tag, path, path if tag in BLOCKS else top.block, banned, top.linked or tag == "a", box, listed))
+            n_open[tag] = n_open.get(tag, 0) + 1
+    return [b for b in out if b.text()], paths
 
 
-def path_scores(found: list[Block]) -> dict[str, float]:
-    """By path: share of text and of punctuation of its blocks, smoothed with its neighbours in page order and with the path above, and fused."""
-    length: dict[str, list[float]] = {}
+def path_scores(found: list[Block], paths: Paths) -> dict[int, float]:
+    """By path: share of text and of punctuation of its blocks, smoothed with its neighbours in page order below the same parent, and fused."""
+    length: dict[int, list[float]] = {}
     for b in found:
         t = b.text()
         row = length.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
@@ -146,7 +233,7 @@ def path_scores(found: list[Block]) -> dict[str, float]:
     order = list(dict.fromkeys(b.path for b in found))
     smooth = {}
     for i, p in enumerate(order):
-        near = [raw[q] for q in order[max(0, i - 1) : i + 2] if q.rpartition("/")[0] == p.rpartition("/")[0]]
+        near = [raw[q] for q in order[max(0, i - 1) : i + 2] if paths.parent[q] == paths.parent[p]]
         smooth[p] = 0.5 * raw[p] + 0.5 * float(np.mean(near))
     return smooth
 
@@ -169,14 +256,15 @@ def main_text(page: str) -> str:
     score at least a fifth of the best one are kept, and in a marked part all running text that is not mostly links. What shares a box with them stays: short
     items, cells and lists of links, these outside a marked part only after kept text, and beside the page's own body only between kept text. Headings go
     with what follows them."""
-    found = [b for b in blocks(page) if not b.banned]
+    found, paths = blocks(page)
+    found = [b for b in found if not b.banned]
     if not found:
         return ""
-    scores = path_scores(found)
-    marked = [b for b in found if "/article" in b.path or "/main" in b.path]
+    scores = path_scores(found, paths)
+    marked = [b for b in found if paths.in_content[b.path]]
     own = marked or found
     least, linked, boxes = 0.2 * max(scores[b.path] for b in own), [b.mostly_links() for b in own], boxed(own)
-    last = [b.path.rpartition("/")[2] for b in own]
+    last = [paths.tag[b.path] for b in own]
     strong = [scores[b.path] > 0 and scores[b.path] >= least or bool(marked) and not l and t in PROSE for b, l, t in zip(own, linked, last)]
     if marked and not any(strong):
         return "\n".join(b.text() for b in own)
@@ -192,7 +280,8 @@ def main_text(page: str) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page. Null or empty html has an empty text; pages are independent."""
+    """page_id, url, text, n_chars of every page. Null or empty html has an empty text; pages are independent, so rows that are repeated, or have no page_id or
+    url, give rows of their own. Pages of any length and depth are read whole, in one pass. Other columns play no part. No pages, no rows."""
 
     def run(batch: pa.RecordBatch) -> dict:
         own = [main_text(t) for t in texts(batch, "html")]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -510,6 +511,49 @@ def test_html_keeps_short_items_beside_paragraphs_without_article():
     assert html_text.main_text(page).split("\n") == ["Head", LONG.strip(), "one", "two", "3", "4", "source"]
 
 
+def test_html_needs_no_article_tag():
+    """The same texts where the page does not mark its article: what decides is ratios and marks of other elements."""
+    for page in (PAGE, f"<body><nav><a href=/>home</a></nav><main><h1>Title</h1><p>{LONG}</p><ul><li>one</li></ul><p>{LONG}</p></main><footer>us</footer></body>"):
+        plain = re.sub(r"(</?)(article|main)\b", r"\1div", page).replace('<header class="entry-header">', "<div>").replace("</h1></header>", "</h1></div>")
+        assert html_text.main_text(plain) == html_text.main_text(page)
+
+
+@pytest.mark.parametrize("page", ["<a " * 10**6, "<div>" * 100_000 + "x", '<a ">"' * 50_000, "<a '>\"x" * 50_000, "<b>" + "<div>" * 20_000 + "</b>" * 20_000, "<!-- " * 200_000, "</x" * 200_000, '<a x="' * 200_000 + ">", "<script>" * 100_000])
+def test_html_reads_any_page_in_one_pass(page):
+    begun = time.process_time()
+    assert isinstance(html_text.main_text(page), str)
+    assert time.process_time() - begun < 20
+
+
+def test_html_paths_score_as_ratios_of_their_blocks():
+    """path_scores against the same sums done plainly on paths as lists of tags."""
+    page = f"<body><div><p>{LONG}</p><p>Short.</p><div><a href=/>{'link ' * 9}</a></div><ul><li>a, b</li><li>c</li></ul></div><div><p>Else, here.</p></div></body>"
+    found, paths = html_text.blocks(page)
+
+    def tags(p):
+        return (*tags(paths.parent[p]), paths.tag[p]) if p else ()
+
+    assert [tags(b.path)[1:] for b in found] == [("div", "p"), ("div", "p"), ("div", "div"), ("div", "ul", "li"), ("div", "ul", "li"), ("div", "p")]
+    scores = {tags(p): x for p, x in html_text.path_scores(found, paths).items()}
+    by = {}
+    for b in found:
+        by.setdefault(tags(b.path), []).append(b)
+    raw = {}
+    for p, own in by.items():
+        chars, marks, links = sum(len(b.text()) for b in own), sum(b.text().count(",") + b.text().count(".") + b.text().count(";") for b in own), sum(b.links for b in own)
+        raw[p] = np.log1p(chars / len(own)) * max(0, 1 - links / chars) * (1 + np.log1p(marks / len(own)))
+    order = list(by)
+    for i, p in enumerate(order):
+        near = [raw[q] for q in order[max(0, i - 1) : i + 2] if q[:-1] == p[:-1]]
+        assert scores[p] == pytest.approx(0.5 * raw[p] + 0.5 * sum(near) / len(near))
+
+
+def test_html_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "t", 5), (1, "u", PAGE, "t", 5), (None, None, None, None, None), (2, "v", "<p>" + "word " * 100_000, "t", 1)], "page_id long, url string, html string, text string, n_chars long")
+    rows = html_text.op8_html(pages).collect()
+    assert sorted((str(r.page_id), r.n_chars) for r in rows) == sorted([("1", len(html_text.main_text(PAGE)))] * 2 + [("None", 0), ("2", 499_999)])
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "no tags", "<p>a<p", "</p></div>x", "<script>never closed", "<!-- never closed", "&#xfffffff; &bogus;", "<a href='>'>q</a>", "<p>" * 3000 + "deep"])
 def test_html_never_breaks(page):
     assert isinstance(html_text.main_text(page), str)
