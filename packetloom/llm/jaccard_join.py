@@ -160,7 +160,17 @@ def _unpacked_counts(blob: bytes) -> np.ndarray:
     return out
 
 
-def _levels(sketch: DataFrame) -> np.ndarray:
+class _Levels:
+    """One byte a counter, compressed wherever it is kept or sent."""
+
+    def __init__(self, levels: np.ndarray) -> None:
+        self.packed = zstandard.compress(levels.tobytes(), 3)
+
+    def unpacked(self) -> np.ndarray:
+        return np.frombuffer(zstandard.decompress(self.packed), np.uint8)
+
+
+def _levels(sketch: DataFrame) -> _Levels:
     """By counter, how far its count is above the mean, in eighths of a power of two: one byte each, summed and rounded on the executors."""
 
     def summed(batches):
@@ -172,14 +182,14 @@ def _levels(sketch: DataFrame) -> np.ndarray:
                 out[k] += _unpacked_counts(blob)
         for k, counts in out.items():
             log = np.clip(np.round(8 * np.log2(np.maximum(counts, 1))), 0, 511).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([log.tobytes()], pa.binary())], names=["chunk", "total", "levels"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([zstandard.compress(log.tobytes(), 3)], pa.binary())], names=["chunk", "total", "levels"])
 
     rows = sketch.repartition(CHUNKS, "chunk").mapInArrow(summed, "chunk long, total long, levels binary").collect()
     mean = 8 * np.log2(max(1.0, sum(r.total for r in rows) / COUNTERS))
     out = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint8)
     for r in rows:
-        out[r.chunk] = np.clip(np.frombuffer(r.levels, np.uint16).astype(int) - round(mean), 0, 255)
-    return out.ravel()
+        out[r.chunk] = np.clip(np.frombuffer(zstandard.decompress(r.levels), np.uint16).astype(int) - round(mean), 0, 255)
+    return _Levels(out)
 
 
 def prefix(h: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -525,7 +535,11 @@ def _joined(own: DataFrame, shingle: int, percent: int, most_sets: int, most_byt
     levels = _levels(described.where("chunk IS NOT NULL").select("chunk", "counts"))
     described = described.where("chunk IS NULL").drop("chunk", "counts")
 
-    def sign(batch: pa.RecordBatch) -> dict | None:
+    def sign(batches):
+        order = levels.unpacked()
+        return (_signed(batch, order) for batch in batches)
+
+    def _signed(batch: pa.RecordBatch, order: np.ndarray) -> dict | None:
         tokens, keys = [], []
         for h in all_shingles(texts(batch), shingle):
             d = _digest(h, _M1) & -2
@@ -533,7 +547,7 @@ def _joined(own: DataFrame, shingle: int, percent: int, most_sets: int, most_byt
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 seen.add(d)
-                first, n_low = prefix(h, levels, percent)
+                first, n_low = prefix(h, order, percent)
                 key = np.full(len(first), d)
                 key[:n_low] |= 1
                 tokens.append(first.view(np.int64))
@@ -544,7 +558,7 @@ def _joined(own: DataFrame, shingle: int, percent: int, most_sets: int, most_byt
     known = classes.where("rep IS NOT NULL")
     # Of a set's first shingles nearly all are in no other set and end here. The lowest bit of a key tells which the smaller set of a pair must share.
     of_token = Window.partitionBy("token")
-    met = in_batches(own, sign, "token long, key long").select("token", F.col("key").bitwiseAND(-2).alias("class"), (F.col("key").bitwiseAND(1) == 1).alias("low"))
+    met = per_task(own, sign, "token long, key long").select("token", F.col("key").bitwiseAND(-2).alias("class"), (F.col("key").bitwiseAND(1) == 1).alias("low"))
     met = met.withColumn("lo", F.min("class").over(of_token)).withColumn("hi", F.max("class").over(of_token)).withColumn("any_low", F.max("low").over(of_token))
     met = met.where("lo != hi AND any_low").select("token", "class", "low").distinct()
     blocks = met.join(known.select(F.col("d1").bitwiseAND(-2).alias("class"), "rep", "n"), "class").select("token", "rep", "n", "low")
