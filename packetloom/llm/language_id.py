@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, texts, written
+from .common import in_batches, per_task, texts, written
 
 BUCKETS = 1 << 14
+#: Trigrams of a text that are made at once.
+SEGMENT = 1 << 18
 #: Documents of each language that the text model is fitted on, about, where there are more; those with the lowest hashes of doc_id.
 FIT_DOCS = 3000
 #: Trigrams count as independent up to this number; more of them add no certainty.
@@ -30,13 +32,29 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Buckets of a text's byte trigrams; all that is no letter counts as blank, and trigrams of blanks alone are left out."""
-    x = _FOLD[np.frombuffer(f" {text} ".encode("utf-8", "surrogatepass"), np.uint8)]
+def _padded(text: str) -> np.ndarray:
+    return np.frombuffer(f" {text} ".encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def _buckets(raw: np.ndarray) -> np.ndarray:
+    x = _FOLD[raw]
     a, b, c = x[:-2], x[1:-1], x[2:]
     return ((a * 961 + b * 31 + c) * 2654435761 >> 7 & (BUCKETS - 1))[(b != 32) | ((a != 32) & (c != 32))]
 
 
+def trigrams(text: str) -> np.ndarray:
+    """Buckets of a text's byte trigrams; all that is no letter counts as blank, and trigrams of blanks alone are left out."""
+    return _buckets(_padded(text))
+
+
+def trigram_counts(text: str) -> np.ndarray:
+    """How often each bucket comes among trigrams(text), which are made in segments, so that a long text asks for little memory beside its own."""
+    raw, out = _padded(text), np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(raw) - 2, SEGMENT):
+        out += np.bincount(_buckets(raw[at : at + SEGMENT + 2]), minlength=BUCKETS)
+    return out
+
+
 class TextModel:
     """Log probabilities by (bucket, language), and the mean per trigram below which a text is in none of the languages."""
 
@@ -51,11 +69,15 @@ class TextModel:
 
     def score(self, text: str) -> tuple[list[float], int, bool]:
         """Log likelihoods, number of trigrams, and whether any language fits."""
-        ids = trigrams(text)
-        n = len(ids)
+        if len(text) > SEGMENT:
+            counts = trigram_counts(text)
+            n, total = int(counts.sum()), counts @ self.log_p.astype(np.float64)
+        else:
+            ids = trigrams(text)
+            n, total = len(ids), self.log_p[ids].sum(axis=0, dtype=np.float64)
         if not n or not self.languages:
             return [0.0] * len(self.languages), n, False
-        mean = self.log_p[ids].mean(axis=0, dtype=np.float64)
+        mean = total / n
         return (mean * min(n, EFFECTIVE)).tolist(), n, bool(n < 20 or mean.max() >= self.floor)
 
 
@@ -67,15 +89,18 @@ def fit_text_model(labelled: DataFrame, most: int = FIT_DOCS) -> TextModel:
     place = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     sample = written(known.join(F.broadcast(shares), "declared").where(place < F.col("share")).select("doc_id", "text", "declared").repartition(8), "language-sample")
 
-    def count(batch: pa.RecordBatch) -> dict | None:
+    def count(batches):
         by: dict[str, np.ndarray] = {}
-        for text, lang in zip(texts(batch), texts(batch, "declared")):
-            by.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            by[lang] += np.bincount(trigrams(text), minlength=BUCKETS)
-        rows = [(lang, int(i), int(v[i])) for lang, v in by.items() for i in np.flatnonzero(v)]
-        return dict(zip(("declared", "bucket", "n"), map(list, zip(*rows)))) if rows else None
-
-    got = in_batches(sample, count, "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+        for batch in batches:
+            for text, lang in zip(texts(batch), texts(batch, "declared")):
+                by.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                by[lang] += trigram_counts(text)
+        for lang, v in by.items():
+            used = np.flatnonzero(v)
+            if len(used):
+                yield {"declared": [lang] * len(used), "bucket": used, "n": v[used]}
+
+    got = per_task(sample, count, "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     languages = sorted(set(got["declared"]))
     counts, place = np.zeros((BUCKETS, len(languages))), {k: i for i, k in enumerate(languages)}
     for lang, bucket, n in zip(got["declared"], got["bucket"], got["n"]):

@@ -355,6 +355,19 @@ def test_language_of_text_and_host(spark):
     assert out[2000].language is None and not out[2000].accepted
 
 
+def test_long_texts_are_counted_in_segments(monkeypatch):
+    text = "The quick brown fox, é and 12 others, jumped over some Dogs.\n\n" * 40 + "x" * 300
+    model = language_id.TextModel(["a", "b"], np.random.default_rng(3).integers(0, 50, (language_id.BUCKETS, 2)))
+    whole = np.bincount(language_id.trigrams(text), minlength=language_id.BUCKETS)
+    lp, n, fits = model.score(text)
+    for size in (1, 7, 100, 2500):
+        monkeypatch.setattr(language_id, "SEGMENT", size)
+        assert (language_id.trigram_counts(text) == whole).all()
+        got = model.score(text)
+        assert np.allclose(got[0], lp, rtol=1e-12) and got[1:] == (n, fits)
+    assert language_id.trigram_counts("").sum() == len(language_id.trigrams(""))
+
+
 def test_language_of_pages(spark):
     body = "the and of that with this from have are was " * 5
     pages = spark.createDataFrame([(1, "https://a.example.de/x", f'<html lang="en"><script>le la les</script><p>{body}</p></html>'), (2, None, None), (3, "http://b.example.fr:80/", f"<HTML LANG=fr>{LANGS['fr'] * 5}")], "page_id long, url string, html string")
