@@ -1,12 +1,14 @@
 """Near-duplicate join on word shingles: signature trees with OR-combined bitmaps and size ranges, joined by dual traversal, in exact blocks.
 
-Shingles have one order for the whole corpus, the rare ones first. Two sets that are alike enough share one of the first few of each, so the sets that share
-one of those are a block, and no link is lost. Blocks with the same least set are one family. A tree of bitmaps over a family is joined with itself; what it
+Sets of about one size are cut in parts by a hash of the shingle, in more parts than alike sets may differ in. Two sets that are alike enough share one of
+the best parts of each, those of many rare shingles, so the sets that share one of those are a block, and no link is lost; sets that only share a passage,
+or shingles by chance, hardly ever meet. Blocks with the same least set are one family. A tree of bitmaps over a family is joined with itself; what it
 leaves apart cannot be alike. What it brings together becomes a tree of whole sets, whose traversal verifies each pair at the leaves and passes over pairs
 that are linked already. Sets that are equal are one class from the start."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,9 +24,12 @@ from .filters import bloom_filter, passes
 
 #: Bytes of text that are hashed at once, about.
 SEGMENT = 1 << 20
-#: Counters of the sketch of shingle counts, from which their order comes, and parts in which it travels. The order only decides how many
-#: sets meet in a block; links are the same with any.
-COUNTERS, CHUNKS = 1 << 24, 64
+#: Counters of the sketch of shingle counts, which tells what is common, and chunks in which it travels. It only decides how many sets meet in a
+#: block; links are the same with any.
+COUNTERS, CHUNKS = 1 << 22, 64
+#: How often a range of sizes grows by what alike sets may differ, the parts that sets are cut in per hundred that are needed, and the worth of a shingle
+#: that is not common, in eighths of a power of two.
+STEPS, SPARE, RAREST = 4, 150, 128
 #: Children of a tree's node.
 FANOUT = 8
 #: Sets, and bytes of them, in one tree at most. Larger groups are cut in cells.
@@ -138,7 +143,7 @@ def _digest(h: np.ndarray, by: np.uint64) -> int:
     return int(_mixed(h, by).sum(dtype=np.uint64).view(np.int64))
 
 
-# ---- the order of shingles, and blocks
+# ---- what is common, and blocks
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
@@ -192,13 +197,61 @@ def _levels(sketch: DataFrame) -> _Levels:
     return _Levels(out)
 
 
+class _SizeClasses:
+    """Ranges of sizes, each so wide that a set's larger alike sets are in its own range or the next one. most: the largest size, by range."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent, self.most = percent, [0]
+
+    def of(self, n: int) -> int:
+        while self.most[-1] < n:
+            most = self.most[-1] + 1
+            for _ in range(STEPS):
+                most = 100 * most // self.percent
+            self.most.append(most)
+        return bisect_left(self.most, n)
+
+
+_size_classes: dict[int, _SizeClasses] = {}
+
+
+def _differ(n: int, other: int, percent: int) -> int:
+    """How many shingles are in only one of two sets of these sizes at most, if they are alike enough."""
+    return (n + other) * (100 - percent) // (100 + percent)
+
+
+def _best_parts(h: np.ndarray, rarity: np.ndarray, of_class: int, parts: int, n: int) -> np.ndarray:
+    """A hash of each of the n best parts of a set that is cut in parts by hash: those whose shingles are rare and many."""
+    salt = np.uint64(of_class * int(_M2) % (1 << 64))
+    part = (_mixed(h ^ salt, _M2) % np.uint64(parts)).astype(np.int64)
+    worth, content = np.zeros(parts, np.int64), np.arange(parts, dtype=np.uint64) * _M1 + salt
+    np.add.at(worth, part, rarity)
+    np.add.at(content, part, _mixed(h, _M1))
+    token = _mixed(content, _M2)
+    return token[np.lexsort((token, -worth))[:n]]
+
+
 def prefix(h: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The first shingles of a set in the order of their levels: as many as it must share one of with any set of its size or less that is alike
-    enough, and how many of them it must share one of with any set of its size or more."""
+    """Tokens of a set, of which it shares one with any set that is alike enough, and how many of them, the first ones, it shares one of with any such set
+    of its size or more.
+
+    All sets of a range of sizes are cut alike in more parts than two alike sets may differ in. Of d + 1 parts that are best in one order for all sets, at
+    least one is the same in two sets that differ in d shingles, since all other equal parts come after the best of them. A set is cut as its own range
+    asks for and, if there may be smaller ones in the range before, as that one asks for."""
     n = len(h)
-    key = (levels[_counter(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-    most, least = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
-    return np.sort(np.partition(key, most - 1)[:most]), least
+    classes = _size_classes.setdefault(percent, _SizeClasses(percent))
+    rarity = RAREST - np.minimum(levels[_counter(h)], RAREST - 1).astype(np.int64)
+
+    def cut(c: int, other: int) -> np.ndarray:
+        most = classes.most[c]
+        parts = SPARE * (_differ(most, 100 * most // percent, percent) + 1) // 100
+        return _best_parts(h, rarity, c, parts, _differ(n, other, percent) + 1)
+
+    own = classes.of(n)
+    out = [cut(own, 100 * n // percent)]
+    if -(-percent * n // 100) <= classes.most[own - 1]:
+        out.append(cut(own - 1, classes.most[own - 1]))
+    return np.concatenate(out), len(out[0])
 
 
 # ---- trees
@@ -556,7 +609,7 @@ def _joined(own: DataFrame, shingle: int, percent: int, most_sets: int, most_byt
 
     classes = written(described.where("n > 0").groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "n", "bits"), "doc_id").alias("c")).select("d1", "d2", F.col("c.doc_id").alias("rep"), "c.n", "c.bits"), "classes")
     known = classes.where("rep IS NOT NULL")
-    # Of a set's first shingles nearly all are in no other set and end here. The lowest bit of a key tells which the smaller set of a pair must share.
+    # Of a set's parts nearly all are in no other set and end here. The lowest bit of a key tells which the smaller set of a pair must share.
     of_token = Window.partitionBy("token")
     met = per_task(own, sign, "token long, key long").select("token", F.col("key").bitwiseAND(-2).alias("class"), (F.col("key").bitwiseAND(1) == 1).alias("low"))
     met = met.withColumn("lo", F.min("class").over(of_token)).withColumn("hi", F.max("class").over(of_token)).withColumn("any_low", F.max("low").over(of_token))

@@ -262,6 +262,33 @@ def test_blocks_lose_no_pair(percent, monkeypatch):
     assert n_alike > 200
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sets_that_share_single_shingles_do_not_meet(percent):
+    """Of a set's tokens hardly any is in another set, if no two are alike, though each shingle is in ten sets and nothing tells which are common."""
+    g = np.random.default_rng(7)
+    levels = np.zeros(jaccard_join.COUNTERS, np.uint8)
+    universe = g.integers(0, 2**63, 60_000).astype(np.uint64)
+    tokens = np.concatenate([np.unique(jaccard_join.prefix(np.sort(g.choice(universe, 300, replace=False)), levels, percent)[0]) for _ in range(2000)])
+    _, times = np.unique(tokens, return_counts=True)
+    assert times[times > 1].sum() < len(tokens) / 100
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 99, 100])
+def test_alike_sets_of_any_size_share_a_token(percent):
+    """Pairs as far apart as they may be, of small sizes and over the limits of size ranges."""
+    g = np.random.default_rng(percent)
+    levels = g.integers(0, 200, jaccard_join.COUNTERS).astype(np.uint8)
+    sizes = [*range(1, 40), *(int(x) for x in g.integers(40, 3000, 60))]
+    for n in sizes:
+        for more in {n, 100 * n // percent, int(g.integers(n, 100 * n // percent + 1))}:
+            common = -(-percent * (n + more) // (100 + percent))
+            if common <= n:
+                both, a, b = (g.integers(0, 2**63, k).astype(np.uint64) for k in (common, n - common, more - common))
+                a, b = np.unique(np.concatenate((both, a))), np.unique(np.concatenate((both, b)))
+                (low, n_low), (high, _) = (jaccard_join.prefix(x, levels, percent) for x in (a, b))
+                assert jaccard_join.alike(a, b, percent) and set(low[:n_low].tolist()) & set(high.tolist())
+
+
 def test_signature_tree_joins_all_that_is_alike():
     r = np.random.default_rng(4)
     sets = []
