@@ -273,6 +273,14 @@ def test_sets_that_share_single_shingles_do_not_meet(percent):
     assert times[times > 1].sum() < len(tokens) / 100
 
 
+def test_counters_of_a_task_are_small():
+    """Two tasks of an executor hold theirs at once, beside what the pipeline's other stages left."""
+    assert jaccard_join.COUNTERS * np.dtype(np.uint32).itemsize <= 16 << 20
+    counts = np.random.default_rng(1).integers(0, 2, jaccard_join.COUNTERS).astype(np.uint32)
+    parts = {k: jaccard_join._unpacked_counts(blob) for k, blob in jaccard_join._packed_counts(counts)}
+    assert (np.concatenate([parts[k] for k in range(jaccard_join.CHUNKS)]) == counts).all()
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90, 99, 100])
 def test_alike_sets_of_any_size_share_a_token(percent):
     """Pairs as far apart as they may be, of small sizes and over the limits of size ranges."""
